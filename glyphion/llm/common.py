@@ -12,6 +12,8 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _RNG = np.random.default_rng(20240229)
 BYTE_VALUES = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,6 +56,21 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carry(docs: DataFrame, *needed: str) -> DataFrame:
+    """All columns packed in _all, and those an operator reads, so that no column's name can clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), *needed)
+
+
+def restore(out: DataFrame, docs: DataFrame, *computed: str) -> DataFrame:
+    """The columns of docs in their order, then computed ones; a computed column takes the place of one of its name."""
+    mine = [F.col(c) if c in computed else F.col("_all").getField(c).alias(c) for c in docs.columns]
+    return out.select(*mine, *(c for c in computed if c not in docs.columns))
+
+
+def extended(schema: StructType, ddl: str) -> StructType:
+    return StructType(schema.fields + StructType.fromDDL(ddl).fields)
+
+
 def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:

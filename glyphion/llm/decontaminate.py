@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import Words, gram_hash, slices, table
+from glyphion.llm.common import Words, carry, extended, gram_hash, restore, slices, table
 
 FILTER_BITS = 22
 
@@ -151,8 +151,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
     Null texts have no words; null item ids count as ''; items with one id count as one. An empty
     benchmark hits nothing. Rows are judged one by one, so repeated rows get equal results.
     """
-    names, out = docs.columns, docs
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    out = work = carry(docs, "text")
+    names = work.columns
     for k, (block, last) in enumerate(test_blocks(benchmark, window, block_bytes)):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -164,8 +164,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
                 fresh = [pa.array([r[i] for r in rows], t) for i, t in enumerate(ADDED.values())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *fresh], names=[*names, *ADDED])
 
-        out = out.mapInArrow(search, f"{plain}, {ADDED_SQL}")
-    return out.drop("_mask")
+        out = out.mapInArrow(search, extended(work.schema, ADDED_SQL))
+    return restore(out, docs, *list(ADDED)[:-1])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import durable, slices, table
+from glyphion.llm.common import carry, durable, extended, restore, slices, table
 
 DIMS = 4096
 LETTER = re.compile(r"[^\W\d_]")
@@ -159,8 +159,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text, or one without a letter, is `und` with score 0; whole texts count, of any length.
     """
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lang_pred string, _lang_score double, _ambiguous boolean"
+    work = carry(docs, "text")
+    names = work.columns
+    fields = extended(work.schema, "_lang_pred string, _lang_score double, _ambiguous boolean")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
@@ -173,7 +174,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             fresh = [pa.array(v, t) for v, t in zip(got, (pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *fresh], names=[*names, "_lang_pred", "_lang_score", "_ambiguous"])
 
-    return docs.mapInArrow(judge, fields)
+    return restore(work.mapInArrow(judge, fields), docs, "_lang_pred", "_lang_score", "_ambiguous")
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """docs without those whose language can't be told: `und`, or no codeword has half of the score."""
+    told = predict(docs, fit(docs.select("doc_id", "text", "lang")))
+    return told.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least_score)).select(*docs.columns)
 
 
 def op2_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import durable, mix, table
+from glyphion.llm.common import carry, durable, extended, mix, restore, table
 
 STRIPPED = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -158,8 +158,10 @@ def dedup_lines(docs: DataFrame, least: int = 10, broadcast_bytes: int = 64 << 2
     """
     index, shards, total = build_index(docs, least)
     size = index.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0]
-    hashed = _hashes(docs, least)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _n_lines bigint, _n_dropped bigint"
+    work = carry(docs, "doc_id", "text")
+    hashed = _hashes(work, least)
+    fields = extended(work.schema, "_n_lines bigint, _n_dropped bigint")
+    back = ("text", "_n_lines", "_n_dropped")
     if size <= broadcast_bytes:
         held = docs.sparkSession.sparkContext.broadcast({r["shard"]: r["blob"] for r in index.collect()})
         loaded: dict[int, Shard] = {}
@@ -184,7 +186,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, broadcast_bytes: int = 64 << 2
                     drops[r].append(i - int(first[r]))
                 yield _replaced(batch, *_rewritten(batch.column("text").to_pylist(), drops), "_keys")
 
-        return hashed.mapInArrow(probe, fields)
+        return restore(hashed.mapInArrow(probe, fields), docs, *back)
 
     # routed: only hashes travel; crowded shards are copied to as many tasks as their probes need
     who = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
@@ -219,7 +221,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, broadcast_bytes: int = 64 << 2
             gone = [x or [] for x in batch.column("_gone").to_pylist()]
             yield _replaced(batch, *_rewritten(batch.column("text").to_pylist(), gone), "_gone")
 
-    return joined.select(*docs.columns, "_gone").mapInArrow(cut, fields)
+    return restore(joined.select(*work.columns, "_gone").mapInArrow(cut, fields), docs, *back)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,6 @@ from glyphion.llm.common import slices, table
 BLOCK_TOKENS = 1 << 18
 
 
-
 def read_blocks(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """file, block, data: flat token files (each below 2 GB) in blocks of block_tokens ids of `width` bytes."""
     step = width * block_tokens
