@@ -1,4 +1,475 @@
-"""All queries of the engine's own operators, with their SQL twins."""
+"""All queries of the engine's own operators, with their SQL twins for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphion.functions import text as T
+from glyphion.functions.languages import BY_EXTENSION, NAMES, detect_language
+from glyphion.operators import graph, retrieval, rules, tables
+from glyphion.sources import chunks as C
+from glyphion.sources import files as S
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+SEARCHES = {1: "the of and", 2: "le de", 3: "der und", 4: "of zzqx"}
+_VALUES = ", ".join(f"({i}, '{q}')" for i, q in SEARCHES.items())
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark, sf):
+    return _t(spark, sf, "documents").withColumn("file_path", F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id"))))
+
+
+def _values(spark, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _sql_values(rows: list[tuple], names: str) -> str:
+    say = lambda v: "NULL" if v is None else ("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v))
+    return "(VALUES " + ", ".join("(" + ", ".join(map(say, r)) + ")" for r in rows) + f") AS t({names})"
+
+
+# --- retrieval ---------------------------------------------------------------------------------
+
+_TOKENS = "list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+_BM25 = f"""
+WITH q AS (SELECT query_id, unnest(string_split(query, ' ')) AS term, len(string_split(query, ' ')) AS n_terms FROM (VALUES {_VALUES}) AS v(query_id, query)),
+d AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+hits AS (SELECT query_id, doc_id, n_terms, count(*) AS matched,
+  round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY query_id, doc_id, n_terms)"""
+
+
+@query(_BM25 + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits WHERE matched = n_terms)
+SELECT query_id::BIGINT AS query_id, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
+def q_bm25_topk(spark, sf):
+    return retrieval.keyword_search(_t(spark, sf, "documents"), SEARCHES, relaxed=False).select("query_id", "doc_id", "score", "rank")
+
+
+@query(_BM25 + """, a AS (SELECT *, bool_or(matched = n_terms) OVER (PARTITION BY query_id) AS full_hit FROM hits),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM a WHERE matched = n_terms OR (NOT full_hit AND n_terms >= 2))
+SELECT query_id::BIGINT AS query_id, doc_id, score, matched::BIGINT AS matched, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
+def q_keyword_or_fallback(spark, sf):
+    return retrieval.keyword_search(_t(spark, sf, "documents"), SEARCHES).select("query_id", "doc_id", "score", "matched", "rank")
+
+
+_COSINE = """round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"""
+_VECTORS = "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, " + _COSINE + " AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5{}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10"
+
+
+def _vectors(spark, sf, where=None):
+    rows = _t(spark, sf, "embeddings")
+    wanted = rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.vector_search(rows, wanted, 10, where)
+
+
+@query(_VECTORS.format(""))
+def q_vector_topk(spark, sf):
+    return _vectors(spark, sf)
+
+
+@query(_VECTORS.format(" AND e.label = 3"))
+def q_vector_topk_filtered(spark, sf):
+    return _vectors(spark, sf, F.col("label") == 3)
+
+
+@query(_BM25 + f""", k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS kr FROM hits WHERE matched = n_terms QUALIFY kr <= 50),
+v AS (SELECT q.vec_id + 1 AS query_id, e.vec_id AS doc_id, {_COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 4),
+s AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS sr FROM v QUALIFY sr <= 50),
+f AS (SELECT query_id, doc_id, kr, sr, round(coalesce(1.0::DOUBLE / (60 + kr), 0) + coalesce(1.0::DOUBLE / (60 + sr), 0), 9) AS score FROM k FULL JOIN s USING (query_id, doc_id))
+SELECT query_id::BIGINT AS query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kr NULLS LAST, sr NULLS LAST, doc_id)::INTEGER AS rank FROM f QUALIFY rank <= 10""")
+def q_hybrid_search(spark, sf):
+    words = retrieval.keyword_search(_t(spark, sf, "documents"), SEARCHES, 50, relaxed=False)
+    rows = _t(spark, sf, "embeddings")
+    wanted = rows.where("vec_id < 4").select((F.col("vec_id") + 1).alias("query_id"), F.col("embedding").alias("query"))
+    near = retrieval.vector_search(rows, wanted, 50).withColumnRenamed("vec_id", "doc_id")
+    return retrieval.rrf(words, near).where("rank <= 10").select("query_id", "doc_id", "score", "rank")
+
+
+@query(_BM25 + """, f AS (SELECT h.*, source FROM hits h JOIN documents USING (doc_id) WHERE matched = n_terms),
+b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) = 1)
+SELECT query_id::BIGINT AS query_id, source AS file_path, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM b QUALIFY rank <= 5""")
+def q_dedupe_by_file(spark, sf):
+    docs = _t(spark, sf, "documents")
+    hits = retrieval.bm25(docs, SEARCHES).where("matched = n_terms").join(docs.select("doc_id", F.col("source").alias("file_path")), "doc_id")
+    return retrieval.dedupe_by_file(hits, 5).select("query_id", "file_path", "doc_id", "score", "rank")
+
+
+_PATHS = [("src/a.ts",), ("web/dist/a.js",), ("lib/x.min.js",), ("a/node_modules/b/c.js",), ("build/x",), (".next/y/z",), ("coverage.ts",)]
+
+
+@query("SELECT path, CASE WHEN regexp_matches(path, '(^|/)(\\.next|dist|build|coverage|node_modules)/.|\\.min\\.js$') THEN 0.42::DOUBLE ELSE 1.0::DOUBLE END AS score FROM " + _sql_values(_PATHS, "path"))
+def q_path_quality(spark, sf):
+    return _values(spark, "path string", _PATHS).select("path", T.path_quality(F.col("path"), F.lit(1.0)).alias("score"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Z]\\w+ing\\b'))::BIGINT AS matches, regexp_replace(text, '([A-Z]\\w+ing\\b)', '**\\1**', 'g') AS highlighted FROM documents WHERE regexp_matches(text, '[A-Z]\\w+ing\\b')")
+def q_regex_search(spark, sf):
+    return retrieval.regex_search(_t(spark, sf, "documents"), r"[A-Z]\w+ing\b").select("doc_id", "matches", "highlighted")
+
+
+@query("""SELECT c.conv_id AS file_path, c.turn::BIGINT AS hit_index, min(o.turn)::BIGINT AS start_line, max(o.turn)::BIGINT AS end_line,
+CASE WHEN length(string_agg(o.text, chr(10) ORDER BY o.turn)) > 8000 THEN left(string_agg(o.text, chr(10) ORDER BY o.turn), 8000) || '…' ELSE string_agg(o.text, chr(10) ORDER BY o.turn) END AS content
+FROM conversations c JOIN conversations o ON c.conv_id = o.conv_id AND o.turn BETWEEN c.turn - 1 AND c.turn + 1 GROUP BY 1, 2""")
+def q_expand_context(spark, sf):
+    c = _t(spark, sf, "conversations").select(F.col("conv_id").alias("file_path"), F.col("turn").cast("long").alias("chunk_index"), F.col("turn").cast("long").alias("start_line"), F.col("turn").cast("long").alias("end_line"), F.col("text").alias("content"))
+    return retrieval.expand_context(c.select("file_path", "chunk_index"), c, 1)
+
+
+@query("""WITH f AS (SELECT item_id AS case_id, doc_id::VARCHAR AS file, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+e AS (SELECT item_id AS case_id, doc_id::VARCHAR AS file FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+w AS (SELECT case_id, count(DISTINCT file) AS want FROM e GROUP BY 1),
+h AS (SELECT f.case_id, count(*) AS n, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM f JOIN e USING (case_id, file) WHERE rank <= 5 GROUP BY 1)
+SELECT case_id, round(coalesce(n / want, 0), 6)::DOUBLE AS recall, round(coalesce(1 / first, 0), 6)::DOUBLE AS mrr,
+round(coalesce(dcg / list_sum(list_transform(range(1, least(want, 5) + 1), lambda i: 1 / log2(i + 1))), 0), 6)::DOUBLE AS ndcg FROM w LEFT JOIN h USING (case_id)""")
+def q_retrieval_metrics(spark, sf):
+    """Perfect retrieval of the documents that hold a benchmark passage; the benchmark is a stated query set."""
+    from pyspark.sql import Window
+
+    items = _t(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("passage"))
+    met = _t(spark, sf, "documents").join(F.broadcast(items), F.col("text").contains(F.col("passage"))).select("case_id", F.col("doc_id").cast("string").alias("file"), "doc_id")
+    found = met.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("doc_id")))
+    return retrieval.retrieval_metrics(found, met.select("case_id", "file"), 5)
+
+
+# --- scalar functions --------------------------------------------------------------------------
+
+_ASKED = [("How does  the login-flow work?",), ("/foo.*bar/i",), ("src/app.ts",), ("getUserName",), ("user_id",), ("a b c d",), ("error",), ("fix the crash in the parser and the lexer",), ("add OR remove",), ("",)]
+
+
+@query("SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS plain FROM documents")
+def q_normalize_query(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.normalize_query(F.col("text")).alias("plain"))
+
+
+_MODE = """CASE WHEN regexp_matches(trim(q), '^/(.+)/([gimsuy]*)$') THEN 'regex'
+WHEN length(trim(q)) < 40 AND len(list_filter(regexp_split_to_array(trim(q), '\\s+'), lambda w: w <> '')) <= 3 AND regexp_matches(trim(q), '[\\\\/]|\\.[a-zA-Z0-9]{1,8}\\b|\\b[a-z][a-z0-9]*[A-Z][a-zA-Z0-9]*\\b|\\b[a-zA-Z]+_[a-zA-Z_]+\\b') THEN 'keyword'
+WHEN regexp_matches(q, '(?i)\\b(how|where|what|why|when|which|explain|describe|implement|does|is there)\\b') OR length(trim(q)) > 80 OR len(list_filter(regexp_split_to_array(trim(q), '\\s+'), lambda w: w <> '')) >= 4 THEN 'hybrid' ELSE 'keyword' END"""
+
+
+@query(f"SELECT q, {_MODE} AS mode FROM " + _sql_values(_ASKED, "q"))
+def q_route_mode(spark, sf):
+    return _values(spark, "q string", _ASKED).select("q", T.route_mode(F.col("q")).alias("mode"))
+
+
+_KINDS = " ".join(f"WHEN regexp_matches(lower(q), '{p}') THEN '{k}'" for k, p in T.TASK_TYPES)
+
+
+@query(f"SELECT q, CASE {_KINDS} ELSE 'general' END AS kind FROM " + _sql_values(_ASKED, "q"))
+def q_task_type(spark, sf):
+    return _values(spark, "q string", _ASKED).select("q", T.task_type(F.col("q")).alias("kind"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.TASK_STOP_WORDS)
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, i, x FROM (SELECT conv_id, turn, regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+') AS l, unnest(range(1, len(l) + 1)) AS i, l[i] AS x FROM conversations)
+WHERE length(x) > 2 AND x NOT IN ({_STOP})), f AS (SELECT conv_id, turn, x, min(i) AS i FROM w GROUP BY ALL)
+SELECT c.conv_id, c.turn, coalesce(array_to_string(list_slice(list(x ORDER BY i) FILTER (WHERE x IS NOT NULL), 1, 10), ' '), '') AS keywords FROM conversations c LEFT JOIN f ON c.conv_id = f.conv_id AND c.turn = f.turn GROUP BY c.conv_id, c.turn""")
+def q_extract_keywords(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.extract_keywords(F.col("text")), " ").alias("keywords"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '…' ELSE text END AS shown FROM documents")
+def q_snippet(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.snippet(F.col("text")).alias("shown"))
+
+
+@query("SELECT a.p_partkey, round(1 - levenshtein(a.p_name, a.p_type)::DOUBLE / greatest(length(a.p_name), length(a.p_type)), 6) AS similarity FROM part a")
+def q_levenshtein(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", F.round(T.levenshtein_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
+
+
+@query("SELECT doc_id, sha1(text) AS hash FROM documents")
+def q_file_hash(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("hash"))
+
+
+@query("SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS content FROM documents")
+def q_lines(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).withColumn("line", (F.col("line") + 1).cast("long"))
+
+
+_NAMED = [("src/a.TS",), ("Dockerfile",), ("x/Makefile",), ("a.tar.gz",), ("lib/b.py",), (".gitignore",), (".ts",), ("noext",), ("d.e/f",), ("q.rs",)]
+_CASES = " ".join(f"WHEN n = '{k}' THEN '{v}'" for k, v in NAMES.items()) + " " + " ".join(f"WHEN e = '{k}' THEN '{v}'" for k, v in BY_EXTENSION.items())
+
+
+@query(f"SELECT path, CASE {_CASES} ELSE 'text' END AS language FROM (SELECT path, regexp_extract(path, '[^/]*$') AS n, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\\.[^.]*)$', 1)) AS e FROM {_sql_values(_NAMED, 'path')})")
+def q_detect_language(spark, sf):
+    return _values(spark, "path string", _NAMED).select("path", detect_language(F.col("path")).alias("language"))
+
+
+_IGNORED = ["# note", "", "logs/", "*.tmp", "docs/*.md"]
+_SEEN = [("logs/a",), ("x/logs/b",), ("a.tmp",), ("d/e.tmp",), ("docs/a.md",), ("docs/b/c.md",), ("src/a.ts",), ("catalogs/a",)]
+
+
+@query("SELECT path FROM " + _sql_values(_SEEN, "path") + " WHERE NOT (regexp_matches(path, '(^|/)logs/') OR regexp_matches(path, '\\.tmp(/|$)') OR regexp_matches(path, '^docs/[^/]*\\.md$'))")
+def q_ignore_filter(spark, sf):
+    return _values(spark, "path string", _SEEN).where(~F.col("path").rlike(T.ignore_regex(_IGNORED)))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name GLOB '*a*e*'")
+def q_glob_sql(spark, sf):
+    return _t(spark, sf, "part").where(F.col("p_name").rlike(T.glob_regex("*a*e*", "sql"))).select("p_partkey", "p_name")
+
+
+@query("SELECT path FROM " + _sql_values(_PATHS, "path") + " WHERE regexp_matches(path, '(?i)^.*/[^/]*\\.js$')")
+def q_glob_simple(spark, sf):
+    return _values(spark, "path string", _PATHS).where(F.col("path").rlike(T.glob_regex("**/*.JS", "simple")))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.page') AS page FROM events")
+def q_json_props(spark, sf):
+    return _t(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.page").alias("page"))
+
+
+_SECRETS = [(1, "a = 1\npassword = 'hunter2hunter2'\nx"), (2, "Authorization: Bearer abc.def\nurl https://me:pw@host/x"), (3, "-----BEGIN PRIVATE KEY-----\nAAA\nBBB\n-----END PRIVATE KEY-----\nend"), (4, "api_key: 0123456789"), (5, "plain")]
+
+
+@query()
+def q_redact(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.redact(F.col("text")).alias("shown"))
+
+
+# --- statistics and maintenance ----------------------------------------------------------------
+
+
+def _as_chunks(spark, sf):
+    return _docs(spark, sf).select(F.col("source").alias("project"), "file_path", F.col("lang").alias("language"), F.size(F.split("text", "\n", -1)).alias("end_line"))
+
+
+@query("SELECT lang AS language, count(DISTINCT doc_id) AS files, count(*) AS chunks FROM documents GROUP BY 1")
+def q_lang_breakdown(spark, sf):
+    return tables.language_breakdown(_as_chunks(spark, sf))
+
+
+@query("SELECT source AS project, count(DISTINCT doc_id) AS files, count(*) AS chunks, sum(len(string_split(text, chr(10))))::BIGINT AS total_lines, floor(count(*) / count(DISTINCT doc_id) * 10 + 0.5) / 10 AS chunks_per_file FROM documents GROUP BY 1")
+def q_project_stats(spark, sf):
+    return tables.project_stats(_as_chunks(spark, sf))
+
+
+@query("SELECT source AS dir, count(DISTINCT doc_id) AS files FROM documents GROUP BY 1")
+def q_dir_tree(spark, sf):
+    return tables.dir_tree(_docs(spark, sf).select(F.col("file_path").alias("file")))
+
+
+_WAS = "SELECT doc_id::VARCHAR AS file, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha1(text) END AS hash FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT 'gone-' || c_custkey, 'x' FROM customer"
+
+
+@query(f"SELECT coalesce(n.file, w.file) AS file, CASE WHEN w.hash IS NULL THEN 'new' WHEN n.hash IS NULL THEN 'deleted' WHEN n.hash <> w.hash THEN 'changed' ELSE 'unchanged' END AS status FROM (SELECT doc_id::VARCHAR AS file, sha1(text) AS hash FROM documents) n FULL JOIN ({_WAS}) w ON n.file = w.file")
+def q_change_detect(spark, sf):
+    now = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), F.sha1(F.col("text").cast("binary")).alias("hash"), "doc_id")
+    was = now.where("doc_id % 5 <> 0").select("file", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("hash")).alias("hash"))
+    was = was.unionByName(_t(spark, sf, "customer").select(F.concat(F.lit("gone-"), F.col("c_custkey")).alias("file"), F.lit("x").alias("hash")))
+    return tables.changes(now.select("file", "hash"), was)
+
+
+@query("SELECT o_orderkey, 0::DOUBLE AS o_totalprice FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, o_totalprice::DOUBLE FROM orders WHERE o_orderstatus <> 'O'")
+def q_upsert(spark, sf):
+    old = _t(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderstatus")
+    new = old.where("o_orderstatus = 'O'").select("o_orderkey", F.lit(0.0).alias("o_totalprice"))
+    return tables.upsert(old.drop("o_orderstatus"), new, ["o_orderkey"])
+
+
+@query("SELECT source AS file FROM documents UNION SELECT url FROM pages")
+def q_project_files_union(spark, sf):
+    return _t(spark, sf, "documents").select(F.col("source").alias("file")).union(_t(spark, sf, "pages").select("url")).distinct()
+
+
+_SYMBOLS = [("s1", "getUser", "function", "a.ts", 3, True), ("s2", "getUserName", "method", "a.ts", 9, False), ("s3", "User", "class", "b.ts", 1, True), ("s4", "GETUSER", "variable", "b.ts", 40, False), ("s5", "parse", "function", "c.ts", 2, False)]
+_SYM_SQL = _sql_values([(a, b, c, d, e, int(f)) for a, b, c, d, e, f in _SYMBOLS], "id, name, kind, file, line, exported")
+
+
+def _symbols(spark):
+    return _values(spark, "id string, name string, kind string, file string, line long, exported boolean", _SYMBOLS)
+
+
+@query(f"SELECT id, name, file, line::BIGINT AS line FROM {_SYM_SQL} WHERE contains(lower(name), 'getuser')")
+def q_symbol_lookup(spark, sf):
+    return tables.symbol_lookup(_symbols(spark), "getUser").select("id", "name", "file", "line")
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT kind FROM {_SYM_SQL} UNION ALL SELECT 'export' FROM {_SYM_SQL} WHERE exported = 1) GROUP BY 1")
+def q_symbol_kind_counts(spark, sf):
+    return tables.symbol_kind_counts(_symbols(spark))
+
+
+@query("SELECT doc_id, source AS file FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def q_symbol_kind_semi(spark, sf):
+    good = _t(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("file"), F.lit("good").alias("kind"), F.lit(True).alias("exported"))
+    hits = _t(spark, sf, "documents").select(F.col("doc_id").alias("file"), "source")
+    return tables.symbol_kind_filter(hits, good, "good").select(F.col("file").alias("doc_id"), F.col("source").alias("file"))
+
+
+_SPANS = "SELECT l_orderkey AS file, l_linenumber AS chunk_index, l_linenumber * 10 AS start_line, l_linenumber * 10 + 15 AS end_line FROM lineitem"
+
+
+@query(f"SELECT p.file, p.line, min(c.chunk_index)::BIGINT AS chunk_index FROM (SELECT o_orderkey AS file, (o_custkey % 80)::BIGINT AS line FROM orders) p LEFT JOIN ({_SPANS}) c ON p.file = c.file AND p.line BETWEEN start_line AND end_line GROUP BY 1, 2")
+def q_symbol_chunk_range(spark, sf):
+    spans = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("chunk_index"), (F.col("l_linenumber") * 10).cast("long").alias("start_line"), (F.col("l_linenumber") * 10 + 15).cast("long").alias("end_line"))
+    points = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("file"), (F.col("o_custkey") % 80).cast("long").alias("line"))
+    return tables.chunk_of_line(points, spans)
+
+
+@query("SELECT query_id, doc_id, used FROM (SELECT source AS query_id, doc_id, sum(length(text) // 4) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS used FROM documents) WHERE used <= 4000")
+def q_token_budget(spark, sf):
+    rows = _t(spark, sf, "documents").select(F.col("source").alias("query_id"), "doc_id", F.floor(F.length("text") / 4).alias("tokens"))
+    return tables.token_budget(rows, 4000, ["doc_id"]).select("query_id", "doc_id", "used")
+
+
+_ROOTS = [("p1", "/w/a"), ("p2", "/w/a/b"), ("p3", "/w/ab")]
+_AT = [("/w/a/x.ts",), ("/w/a/b/y.ts",), ("/w/ab/z",), ("/w/abc/z",), ("/w/a",)]
+
+
+@query(f"SELECT path, (SELECT arg_max(project, length(root)) FROM {_sql_values(_ROOTS, 'project, root')} WHERE path = root OR starts_with(path, root || '/')) AS project FROM {_sql_values(_AT, 'path').replace(' t(', ' p(')}")
+def q_workspace_resolve(spark, sf):
+    return tables.workspace_resolve(_values(spark, "path string", _AT), _values(spark, "project string, root string", _ROOTS))
+
+
+@query("SELECT file, CASE WHEN score <= 5 THEN 'Low' WHEN score <= 15 THEN 'Medium' WHEN score <= 30 THEN 'High' ELSE 'Very High' END AS level, score FROM (SELECT doc_id AS file, (2 * (doc_id % 4) + doc_id % 3 + floor(len(string_split(text, chr(10))) / 50) + 1)::BIGINT AS score FROM documents)")
+def q_file_complexity(spark, sf):
+    files = _t(spark, sf, "documents").select(F.col("doc_id").alias("file"), (F.col("doc_id") % 4).alias("exports"), (F.col("doc_id") % 3).alias("imports"), F.size(F.split("text", "\n", -1)).alias("lines"), F.lit(1).alias("chunks"))
+    return tables.file_complexity(files).select("file", "level", "score")
+
+
+# --- graphs ------------------------------------------------------------------------------------
+
+
+def _edges(spark, sf):
+    """Nations import their region, customers their nation, orders their customer."""
+    n = _t(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("source"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("target"))
+    c = _t(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("source"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("target"))
+    o = _t(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("source"), F.concat(F.lit("c"), F.col("o_custkey")).alias("target"))
+    return n.union(c).union(o)
+
+
+_EDGES = "edges AS (SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders)"
+
+
+@query(f"WITH {_EDGES} SELECT target, source FROM edges WHERE source IN (SELECT 'c' || c_custkey FROM customer)")
+def q_dependencies(spark, sf):
+    return graph.dependencies(_edges(spark, sf), _t(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("file"))).select("target", "source")
+
+
+@query(f"WITH {_EDGES} SELECT target, source FROM edges WHERE target IN ('n1', 'n2', 'c5')")
+def q_dependents(spark, sf):
+    return graph.dependents(_edges(spark, sf), _values(spark, "file string", [("n1",), ("n2",), ("c5",)])).select("target", "source")
+
+
+@query(f"WITH RECURSIVE {_EDGES}, walk AS (SELECT 'r1' AS file, 0 AS depth UNION SELECT e.source, w.depth + 1 FROM walk w JOIN edges e ON e.target = w.file WHERE w.depth < 3) SELECT file, min(depth)::INTEGER AS depth FROM walk WHERE depth > 0 GROUP BY file")
+def q_impact_bfs(spark, sf):
+    return graph.impact(_edges(spark, sf), _values(spark, "file string", [("r1",)]), 3)
+
+
+@query(f"WITH {_EDGES} SELECT e.source, e.target, n.n_name AS target_name FROM edges e JOIN nation n ON e.target = 'n' || n.n_nationkey")
+def q_callers(spark, sf):
+    nodes = _t(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"))
+    edges = _edges(spark, sf).withColumn("kind", F.when(F.col("target").startswith("n"), "CALLS").otherwise("IMPORTS"))
+    return graph.callers(edges, nodes, ["CALLS"]).select("source", "target", "target_name")
+
+
+@query(f"WITH {_EDGES} SELECT (SELECT count(*) FROM nation) AS nodes, count(*) AS edges, count(*) FILTER (WHERE target IS NULL) AS unresolved FROM edges")
+def q_graph_counts(spark, sf):
+    return graph.graph_counts(_t(spark, sf, "nation"), _edges(spark, sf))
+
+
+_IMPORTS = [("src/a.ts", "./b"), ("src/a.ts", "./c.js"), ("src/x/d.ts", "../b"), ("src/a.ts", "./lib"), ("src/a.ts", "react"), ("src/a.ts", "./none")]
+_TARGETS = [("src/b.ts",), ("src/c.ts",), ("src/c.tsx",), ("src/lib/index.ts",), ("src/lib/index.js",)]
+_RESOLVED = [("src/a.ts", "./b", "src/b.ts"), ("src/a.ts", "./c.js", "src/c.ts"), ("src/x/d.ts", "../b", "src/b.ts"), ("src/a.ts", "./lib", "src/lib/index.ts"), ("src/a.ts", "react", None), ("src/a.ts", "./none", None)]
+
+
+@query("SELECT * FROM " + _sql_values(_RESOLVED, "source, specifier, target"))
+def q_resolve_import(spark, sf):
+    return graph.resolve_imports(_values(spark, "source string, specifier string", _IMPORTS), _values(spark, "file string", _TARGETS))
+
+
+@query("SELECT source AS project, count(*) AS files, bit_xor(('0x' || substr(sha256(doc_id::VARCHAR || '|' || sha1(text)), 1, 15))::BIGINT) AS mark FROM documents GROUP BY 1")
+def q_fingerprint(spark, sf):
+    rows = _t(spark, sf, "documents").select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("file"), F.sha1(F.col("text").cast("binary")).alias("hash"))
+    return graph.fingerprint(rows, "project")
+
+
+# --- rules, conversations, events, commits, chunks ---------------------------------------------
+
+
+@query()
+def q_security_scan(spark, sf):
+    return rules.scan(_t(spark, sf, "documents").select(F.col("doc_id").alias("file"), "text"), query="password token")
+
+
+@query()
+def q_security_plan(spark, sf):
+    return rules.plan(rules.scan(_t(spark, sf, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("text"))))
+
+
+@query("SELECT conv_id, count(*) AS messages, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")
+def q_thread_stats(spark, sf):
+    return tables.thread_stats(_t(spark, sf, "conversations"))
+
+
+@query("SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS at FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)")
+def q_chat_load(spark, sf):
+    return tables.load_thread(_t(spark, sf, "conversations"), 3).select("conv_id", "turn", "text", "at")
+
+
+@query("SELECT conv_id, turn, left(text, 200) AS preview FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20")
+def q_chat_preview(spark, sf):
+    return tables.load_thread(_t(spark, sf, "conversations"), 20).select("conv_id", "turn", F.substring("text", 1, 200).alias("preview"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600000000 THEN 1 ELSE 0 END AS far FROM events),
+s AS (SELECT *, sum(far) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, epoch_us(min(ts))::BIGINT AS first_us, epoch_us(max(ts))::BIGINT AS last_us, count(*) AS n FROM s GROUP BY user_id, s.n""")
+def q_debounce_sessions(spark, sf):
+    out = tables.debounce(_t(spark, sf, "events"), 3600, "user_id")
+    return out.select("user_id", F.unix_micros(F.col("first_at").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("last_at").cast("timestamp")).alias("last_us"), "n")
+
+
+_LOG = [("h1|Ann|a@x|2024-01-02|fix: a|b\nsrc/a.ts\nsrc/b.ts",), ("h2|Bob|b@x|2024-01-03|init\nREADME.md",), ("broken",)]
+
+
+@query("SELECT * FROM " + _sql_values([("h1", "Ann", "2024-01-02", "fix: a|b", "src/a.ts,src/b.ts"), ("h2", "Bob", "2024-01-03", "init", "README.md")], "hash, author, date, message, files"))
+def q_git_parse(spark, sf):
+    return S.parse_git_log(_values(spark, "block string", _LOG)).withColumn("files", F.array_join("files", ","))
+
+
+@query("SELECT * FROM (VALUES ('h1', 1::BIGINT, 1::BIGINT), ('h2', 0::BIGINT, 1::BIGINT)) AS t(hash, indexed, not_indexed)")
+def q_recent_changes(spark, sf):
+    return S.recent_changes(S.parse_git_log(_values(spark, "block string", _LOG)), _values(spark, "file string", [("src/a.ts",)]))
+
+
+@query()
+def q_chunk_documents(spark, sf):
+    return C.chunks(_docs(spark, sf).select(F.col("file_path").alias("file"), "text"))
+
+
+@query()
+def q_fuzzy_boost(spark, sf):
+    docs = _t(spark, sf, "documents")
+    hits = retrieval.keyword_search(docs, SEARCHES).join(docs.select("doc_id", "text"), "doc_id")
+    return retrieval.fuzzy_boost("the of and", hits).select("query_id", "doc_id", "score")
+
+
+@query()
+def q_graph_traverse(spark, sf):
+    edges = _edges(spark, sf).withColumn("edge_id", F.concat_ws(">", "source", "target"))
+    return graph.traverse(edges, _values(spark, "node string", [("n1",)]), 1)
