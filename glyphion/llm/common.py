@@ -7,10 +7,12 @@ and the hashes are the same on every executor.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -142,7 +144,19 @@ def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(texts: list[str | None], most: int = 8 << 20):
+def pieces(batches, rows: int = 512):
+    """Batches in pieces of a few rows, so that Python holds few texts at a time; freed memory goes back between batches."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim is not None:
+            trim(0)
+
+
+def slices(texts: list[str | None], most: int = 2 << 20):
     """(from, to) of runs of texts with about `most` characters, so that arrays stay bounded."""
     at = size = 0
     for i, t in enumerate(texts):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import Words, carry, extended, gram_hash, restore, slices, table
+from glyphion.llm.common import Words, carry, extended, gram_hash, pieces, restore, slices, table
 
 FILTER_BITS = 22
 
@@ -157,7 +157,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches, held=held, again=k > 0, last=last):
-            for batch in batches:
+            for batch in pieces(batches):
                 texts = batch.column(names.index("text")).to_pylist()
                 old = list(zip(*(batch.column(len(names) + i).to_pylist() for i in range(len(ADDED))))) if again else None
                 rows = [r for a, b in slices(texts) for r in _merged(held.value, texts[a:b], old[a:b] if old else None, last)]

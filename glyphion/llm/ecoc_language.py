@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import carry, durable, extended, restore, slices, table
+from glyphion.llm.common import carry, durable, extended, pieces, restore, slices, table
 
 DIMS = 4096
 LETTER = re.compile(r"[^\W\d_]")
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, fit_rows: int = 60_000, parts: int = 32, most_languages
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for a, b in slices(texts, 1 << 20):
                 h = histograms(texts[a:b])
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, fit_rows: int = 60_000, parts: int = 32, most_languages
 
         def judge(batches):
             good, seen = np.zeros(model_shape), np.zeros((model_shape[0], 1))
-            for batch in batches:
+            for batch in pieces(batches):
                 texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
                 for a, b in slices(texts, 1 << 20):
                     at = np.array([number[x] for x in langs[a:b]])
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(names.index("text")).to_pylist()
             got: list[list] = [[], [], []]
             for a, b in slices(texts, 1 << 20):

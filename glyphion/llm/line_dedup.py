@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import carry, durable, extended, mix, restore, table
+from glyphion.llm.common import carry, durable, extended, mix, pieces, restore, table
 
 STRIPPED = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -170,7 +170,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, broadcast_bytes: int = 64 << 2
             for s, blob in held.value.items():
                 if s not in loaded:
                     loaded[s] = Shard(blob)
-            for batch in batches:
+            for batch in pieces(batches):
                 rows, a, b, at = _flat(batch.column("_keys"))
                 ids = np.asarray(batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID))[rows]
                 gone = np.zeros(len(rows), dtype=bool)
@@ -217,7 +217,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, broadcast_bytes: int = 64 << 2
     joined = key.drop("_keys").join(dropped, ["_who", "_text"], "left").drop("_who", "_text")
 
     def cut(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             gone = [x or [] for x in batch.column("_gone").to_pylist()]
             yield _replaced(batch, *_rewritten(batch.column("text").to_pylist(), gone), "_gone")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import durable, table
+from glyphion.llm.common import durable, pieces, table
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate((*KINDS, "term"))}
@@ -118,7 +118,7 @@ def _scan(reach: int, held_terms: int):
             words.clear(), near.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES)], names=NAMES)
 
-        for batch in batches:
+        for batch in pieces(batches):
             spans, terms = [], []
             for text in batch.column("text").to_pylist():
                 s = base_spans(text)

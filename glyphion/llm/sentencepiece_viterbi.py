@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import carry, extended, restore, table
+from glyphion.llm.common import carry, extended, pieces, restore, table
 from glyphion.llm.token_counts import tokenizer_file
 
 BLANK = "▁"
@@ -32,17 +32,17 @@ UNCOVERED = -1000.0  # of a character that only byte pieces can write
 class Pieces:
     """A vocabulary: pieces (text, with a blank sign for the space) by id, and the ids of byte pieces."""
 
-    def __init__(self, pieces: list[str], special: set[int], held_words: int = 400_000):
-        self.pieces, self.byte_id, self.special, self.held_words = pieces, {}, special, held_words
+    def __init__(self, vocabulary: list[str], special: set[int], held_words: int = 250_000):
+        self.pieces, self.byte_id, self.special, self.held_words = vocabulary, {}, special, held_words
         self.words: list[tuple[str, int, float]] = []
-        for i, p in enumerate(pieces):
+        for i, p in enumerate(vocabulary):
             if m := BYTE_PIECE.fullmatch(p):
                 self.byte_id[int(m[1], 16)] = i
             elif i not in special and p:
                 self.words.append((p, i, -math.log(i + 2)))
         self.chunked = not any("\n" in p or re.search(f"[^{BLANK}]{BLANK}", p) for p, _, _ in self.words)
         self.automaton, self.cache = None, {}
-        as_bytes = [p.replace(BLANK, " ").encode() for p in pieces]
+        as_bytes = [p.replace(BLANK, " ").encode() for p in vocabulary]
         for b, i in self.byte_id.items():
             as_bytes[i] = bytes([b])
         for i in special:
@@ -115,8 +115,8 @@ class Pieces:
         return np.frombuffer(b"".join(parts), dtype=np.int32)
 
     def decode(self, ids) -> str:
-        pieces = self.as_bytes
-        return b"".join([pieces[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+        written = self.as_bytes
+        return b"".join([written[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
 def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
@@ -126,7 +126,7 @@ def encode(docs: DataFrame, vocabulary: Pieces) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             parts = [None if t is None else held.value.encode(t) for t in batch.column(names.index("text")).to_pylist()]
             sizes = [0 if p is None else len(p) for p in parts]
             flat = pa.array(np.concatenate([p for p in parts if p is not None] or [np.empty(0, np.int32)]))
@@ -143,7 +143,7 @@ def decode(rows: DataFrame, vocabulary: Pieces) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             column = batch.column(names.index("_ids"))
             offsets, flat = np.asarray(column.offsets), np.asarray(column.values)
             valid = column.is_valid().to_pylist()

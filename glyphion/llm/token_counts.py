@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import slices, table
+from glyphion.llm.common import pieces, slices, table
 
 BLOCK_TOKENS = 1 << 18
 
@@ -39,7 +39,7 @@ def scan_blocks(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
     names = [f.name for f in kept]
 
     def scan(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [_ends(d, end_id, width) for d in batch.column(batch.schema.get_field_index("data")).to_pylist()]
             cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
             cols += [pa.array([n for n, _ in found], pa.int64()), pa.array([e for _, e in found], pa.list_(pa.int32()))]
@@ -120,7 +120,7 @@ def flat_blocks(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, blo
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file", "block", "data", "doc_ids"])
 
         encode = encoder(held.value, pattern, ranks_path).encode_ordinary
-        for batch in batches:
+        for batch in pieces(batches):
             texts, who = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in slices(texts, 1 << 20):
                 for i in range(a, b):
