@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import Words, durable, gram_hash, slices, table
+from glyphion.llm.common import Words, durable, gram_hash, pieces, slices, table
 
 WINDOW, GRAM = 20, 8
 SPAN = WINDOW - GRAM + 1  # grams in a window
@@ -100,7 +100,7 @@ def settle(texts: list[str | None], ids: np.ndarray) -> list[tuple[int, np.ndarr
 
 def _seen(batches):
     pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in pieces(batches):
         ids = np.asarray(batch.column("doc_id").fill_null(NO_ID))
         texts = batch.column("text").to_pylist()
         found, packed = [], []
@@ -115,7 +115,7 @@ def _seen(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["_row", "doc_id", "packed", "n", "gone", "head", "at"])
 
 
-STRETCH = np.dtype([("head", "<i8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4")])
+STRETCH = np.dtype([("head", "<i8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("bytes", "<i4")])
 
 
 def _stretches(shards: int):
@@ -123,7 +123,7 @@ def _stretches(shards: int):
 
     def run(batches):
         pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in pieces(batches):
             parts: dict[int, tuple[list, list]] = {}
             rows, ids = batch.column("_row").to_pylist(), batch.column("doc_id").fill_null(NO_ID).to_pylist()
             for row, doc, packed, hits in zip(rows, ids, batch.column("packed"), batch.column("hits").to_pylist()):
@@ -131,12 +131,12 @@ def _stretches(shards: int):
                 anchor, grams = anchors(w.hash), gram_hash(w.hash, GRAM).view(np.int64)
                 hits = np.sort(np.array(hits, dtype=np.int64))
                 a, b = np.searchsorted(anchor, hits, "left"), np.searchsorted(anchor, hits, "right")
-                for p, s, e in zip(hits.tolist(), a.tolist(), b.tolist()):
-                    head = int(grams[p])
+                low, high, data = w.start[a].tolist(), w.end[b + WINDOW - 2].tolist(), w.data.tobytes()
+                for head, s, x, y in zip(grams[hits].tolist(), a.tolist(), low, high):
                     keys, words = parts.setdefault(head % shards, ([], []))
-                    keys.append((head, doc, row, s))
-                    words.append(b" ".join(w.text_of(s, e + WINDOW - 1)))
-            cols = [list(parts), [pack.compress(np.array(k, dtype=STRETCH).tobytes()) for k, _ in parts.values()], [pack.compress(b"\n".join(t)) for _, t in parts.values()]]
+                    keys.append((head, doc, row, s, y - x))
+                    words.append(data[x:y])
+            cols = [list(parts), [pack.compress(np.array(k, dtype=STRETCH).tobytes()) for k, _ in parts.values()], [pack.compress(b"".join(t)) for _, t in parts.values()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "keys", "words"])
 
     return run
@@ -211,51 +211,59 @@ class Automaton:
 
 
 def judge(stretches: list[tuple[int, int, int, bytes]]):
-    """(row, start) of the windows that begin earlier elsewhere. stretches: (doc, row, start, words) that share anchors."""
+    """(row, from, to): words covered by windows that begin earlier elsewhere. stretches: (doc, row, start, words) that share anchors."""
     held: dict[bytes, list] = {}
     for doc, row, start, words in stretches:
-        held.setdefault(words, []).append((doc, start, row))
+        held.setdefault(b" ".join(words.split()), []).append(((doc << 32) + start, row))  # places in order of document, then word
     machine = Automaton()
     split = {text: text.split(b" ") for text in held}
     for text, places in held.items():
-        doc, start, _ = min(places)
-        machine.add(split[text], [(doc, start + k) for k in range(len(split[text]))])
+        first = min(places)[0]
+        machine.add(split[text], range(first, first + len(split[text])))
     machine.close()
     for text, places in held.items():
         ends = machine.earliest(split[text], WINDOW)
-        for doc, start, row in places:
+        for first, row in places:
+            start, since = first & (2**32 - 1), None
             for k in range(WINDOW - 1, len(ends)):
-                if ends[k] is not None and ends[k] < (doc, start + k):
-                    yield row, start + k - WINDOW + 1
+                if ends[k] is not None and ends[k] < first + k:
+                    if since is None:
+                        since = start + k - WINDOW + 1
+                elif since is not None:
+                    yield row, since, start + k
+                    since = None
+            if since is not None:
+                yield row, since, start + len(ends)
 
 
 def _judge_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     unpack = zstandard.ZstdDecompressor()
     keys = np.concatenate([np.frombuffer(unpack.decompress(k), dtype=STRETCH) for k in pdf["keys"]])
-    words = [t for k in pdf["words"] for t in unpack.decompress(k).split(b"\n")]
+    words = b"".join(unpack.decompress(k) for k in pdf["words"])
+    end = np.cumsum(keys["bytes"], dtype=np.int64)
+    order = np.argsort(keys["head"], kind="stable")
+    heads, docs, rows, starts = (keys[c][order].tolist() for c in ("head", "doc", "row", "start"))
+    spans = zip((end - keys["bytes"])[order].tolist(), end[order].tolist())
     found, group, size = [], [], 0
-    order = np.argsort(keys["head"], kind="stable").tolist()
-    for j, i in enumerate(order):
-        _, doc, row, start = keys[i].tolist()
-        group.append((doc, row, start, words[i]))
-        size += len(words[i]) // 6
-        last = j + 1 == len(order)
-        if last or (size >= REFERENCE_WORDS and keys["head"][order[j + 1]] != keys["head"][i]):
+    for j, (x, y) in enumerate(spans):
+        group.append((docs[j], rows[j], starts[j], words[x:y]))
+        size += (y - x) // 6
+        if j + 1 == len(order) or (size >= REFERENCE_WORDS and heads[j + 1] != heads[j]):
             found += judge(group)
             group, size = [], 0
-    return pd.DataFrame({"_row": [r for r, _ in found], "start": [s for _, s in found]}, dtype="int64")
+    return pd.DataFrame(np.array(found, dtype=np.int64).reshape(-1, 3), columns=["_row", "a", "b"])
 
 
 def _kept(batches):
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in pieces(batches):
         out, removed = [], []
-        for packed, gone, starts in zip(batch.column("packed"), batch.column("gone").to_pylist(), batch.column("starts").to_pylist()):
+        for packed, gone, cut in zip(batch.column("packed"), batch.column("gone").to_pylist(), batch.column("cut").to_pylist()):
             text = packed.as_py()
             words = Words([None if text is None else unpack.decompress(text).decode("utf-8", "surrogatepass")], "space", hashes=False)
             n = len(words.start)
-            mask = spread(np.array(starts or [], dtype=np.int64), n)
-            for a, b in zip((gone or [])[0::2], (gone or [])[1::2]):
+            mask = np.zeros(n, dtype=bool)
+            for a, b in [*zip((gone or [])[0::2], (gone or [])[1::2]), *((c["a"], c["b"]) for c in cut or [])]:
                 mask[a:b] = True
             kept = words.text_of(0, n)
             if mask.any():
@@ -282,8 +290,8 @@ def dedup_substrings(docs: DataFrame, hits_a_shard: int = 60_000) -> DataFrame:
     hits = durable(again.groupBy("_row").agg(F.collect_list("at").alias("hits")))
     shards = max(1, -(-(hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]) // hits_a_shard))
     dealt = hits.join(seen.select("_row", "doc_id", "packed"), "_row").mapInArrow(_stretches(shards), "shard int, keys binary, words binary")
-    gone = dealt.groupBy("shard").applyInPandas(_judge_shard, "_row long, start long")
-    gone = gone.groupBy("_row").agg(F.collect_list("start").alias("starts"))
+    gone = dealt.groupBy("shard").applyInPandas(_judge_shard, "_row long, a long, b long")
+    gone = gone.groupBy("_row").agg(F.collect_list(F.struct("a", "b")).alias("cut"))
     kept = seen.select("_row", "doc_id", "packed", "n", "gone").join(gone, "_row", "left")
     return kept.mapInArrow(_kept, "_row long, doc_id long, n_words long, n_removed long, kept string")
 
