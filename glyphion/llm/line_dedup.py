@@ -196,7 +196,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, broadcast_bytes: int = 64 << 2
     load = index.join(probes.groupBy("shard").agg(F.ceil(F.count("*") / probes_a_task).cast("int").alias("copies")), "shard")
     spread = load.select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "blob")
     crowd = probes.join(load.select("shard", "copies"), "shard").withColumn("salt", F.pmod(F.xxhash64("_who", "line"), F.col("copies")).cast("int"))
-    both = spread.select("shard", "salt", F.lit(None).cast("long").alias("_who"), F.lit(None).cast("long").alias("_text"), F.lit(-1).alias("line"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "blob")
+    both = spread.select("shard", "salt", F.lit(0).cast("long").alias("_who"), F.lit(0).cast("long").alias("_text"), F.lit(-1).alias("line"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "blob")
     both = both.unionByName(crowd.select("shard", "salt", "_who", "_text", "line", "a", "b", F.lit(None).cast("binary").alias("blob")))
 
     def look_up(batches):
