@@ -114,6 +114,45 @@ def test_near_duplicates(spark, docs, empty):
     assert J.near_duplicates(docs).count() == len(TEXTS) and J.drop_near_duplicates(docs).columns == docs.columns and J.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_all_links_of_a_crowd(spark, monkeypatch, block):
+    monkeypatch.setattr(J, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(3):  # a group whose members lie at, above and below the threshold from each other
+        base = [f"g{g}w{i}" for i in range(150)]
+        for m in range(60):
+            words = list(base)
+            for at in rng.integers(0, 150, rng.integers(0, 7)):
+                words[at] = f"e{rng.integers(0, 10**9)}"
+            rows.append((g * 100 + m, " ".join(words)))
+    sets = {i: frozenset(J.shingle_sets([t])[0].tolist()) for i, t in rows}
+    links, root = defaultdict(set), {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a != b and sets[a] != sets[b] and 5 * n >= 4 * len(sets[a] | sets[b]):
+                links[a].add(sets[b])
+    for _ in range(len(sets)):
+        for a in sets:
+            root[a] = min([root[a], *(root[b] for b in sets if sets[b] in links[a] or sets[b] == sets[a])])
+        if all(root[a] == root[b] for a in sets for b in sets if sets[b] in links[a]):
+            break
+    out = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in out} == {i: (root[i], len(links[i])) for i in sets}
+
+
+def test_pairs_across_classes(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:k] + [f"n{k}"] + base[k + 1 :]) for k in range(20, 80, 5)]
+    sigs = [(i, J.signature(s).tobytes()) for i, s in enumerate(J.shingle_sets(texts))]
+    nodes = spark.createDataFrame(sigs, "node long, sig binary")
+    crowded = spark.createDataFrame([(0, 7, i) for i in range(12)], "band int, bucket long, node long")
+    roots = spark.createDataFrame([(i, 0) for i in range(6)], "node long, root long")
+    got = {(r.a, r.b) for r in J.across_classes(crowded, nodes, roots, 1e-6).collect()}
+    assert got == {(a, b) for a in range(12) for b in range(max(a + 1, 6), 12)}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 16).astype(np.float32)]) for i in range(300)]
