@@ -151,6 +151,9 @@ def test_pairs_across_classes(spark):
     roots = spark.createDataFrame([(i, 0) for i in range(6)], "node long, root long")
     got = {(r.a, r.b) for r in J.across_classes(crowded, nodes, roots, 1e-6).collect()}
     assert got == {(a, b) for a in range(12) for b in range(max(a + 1, 6), 12)}
+    few = crowded.where("node between 3 and 9")
+    got = [(r.a, r.b) for r in J.across_classes(few, nodes, roots, 1e-6).collect()]
+    assert sorted(got) == sorted((a, b) for a in range(3, 10) for b in range(max(a + 1, 6), 10))
 
 
 def test_top_k(spark):
