@@ -156,6 +156,25 @@ def test_pairs_across_classes(spark):
         assert got == {(i, 0) for i in range(12 if first == 0 else 10)}
 
 
+@pytest.mark.parametrize("decoys", [4, 5, 9])
+def test_link_beyond_the_first_pivots(spark, monkeypatch, decoys):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"d{k}x{i}" for i in range(50)) for k in range(decoys)] + [" ".join(base), " ".join(base[:90] + ["new"] + base[91:])]
+    sets = J.shingle_sets(texts)
+    sigs = rng.integers(0, 2**32, (len(texts), J.BANDS, J.ROWS), dtype=np.uint32)
+    sigs[-2, : J.BANDS - decoys] = sigs[-1, : J.BANDS - decoys]
+    for k in range(decoys):  # each shares a bucket of two with the last text, which so has the near copy as its last pivot
+        sigs[k, J.BANDS - 1 - k] = sigs[-1, J.BANDS - 1 - k]
+    rows = [(i, i, i, i, sig.tobytes(), zstandard.compress(t.encode())) for i, (sig, t) in enumerate(zip(sigs, texts))]
+    nodes = spark.createDataFrame(rows, "_row long, doc_id long, k1 long, k2 long, sig binary, packed binary")
+    monkeypatch.setattr(J, "_nodes", lambda docs: nodes)
+    linked = lambda a, b: 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))
+    every = range(len(texts))
+    want = {(a, min(b for b in every if linked(a, b)), sum(linked(a, b) for b in every) - 1) for a in every}
+    assert {(r.doc_id, r.class_id, r.n_links) for r in J.near_duplicates(nodes).collect()} == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 16).astype(np.float32)]) for i in range(300)]
