@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and terms that corpus co-occurrence shows to reveal them.
 
-One pass over the texts finds the base spans, the terms beside them and counts of all words,
-combined in the task before they are shuffled. A term's disclosure is the share of its
-occurrences, in the whole corpus, that stand beside a protected entity, and the information (in
-bits) that the term gives about an entity being there. Terms above the thresholds are
-generalised beside entities, as the entities themselves are.
+One pass over the texts counts all words, and those beside base spans, combined in the task before
+they are shuffled. A term's disclosure is the share of its occurrences, in the whole corpus, that
+stand beside a protected entity, and the information (in bits) that the term gives about an
+entity being there. A second pass marks the base spans and all occurrences of the terms above the
+thresholds, wherever they stand; both are generalised.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import durable, pieces, table
+from glyphion.llm.common import carry, durable, pieces, restore, table
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate((*KINDS, "term"))}
@@ -97,11 +97,8 @@ def beside(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tup
     return out
 
 
-ROW = "row long, doc_id long, spans array<struct<kind:string,a:long,b:long>>, near array<struct<term:string,a:long,b:long>>, term string, n long, n_near long"
+SPANS = "array<struct<kind:string,a:long,b:long>>"
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
-NEAR = pa.list_(pa.struct([("term", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
-TYPES = [pa.int64(), pa.int64(), SPAN, NEAR, pa.string(), pa.int64(), pa.int64()]
-NAMES = ["row", "doc_id", "spans", "near", "term", "n", "n_near"]
 
 
 def _scan(reach: int, held_terms: int):
@@ -114,52 +111,97 @@ def _scan(reach: int, held_terms: int):
             for w, n in words.items():
                 total[w.lower()] += n
             terms = list(total | near)
-            cols = [[None] * len(terms)] * 4 + [terms, [total[t] for t in terms], [near[t] for t in terms]]
+            cols = [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (total, near))]
             words.clear(), near.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES)], names=NAMES)
+            return pa.RecordBatch.from_arrays(cols, names=["term", "n", "n_near"])
 
         for batch in pieces(batches):
-            spans, terms = [], []
             for text in batch.column("text").to_pylist():
                 s = base_spans(text)
-                t = beside(text, s, reach) if s else []
-                spans.append([{"kind": k, "a": a, "b": b} for k, a, b in s])
-                terms.append([{"term": k, "a": a, "b": b} for k, a, b in t])
-                near.update(k for k, _, _ in t)
+                near.update(k for k, _, _ in (beside(text, s, reach) if s else ()))
                 if text:
                     words.update(WORD.findall(text))
                 if len(words) > held_terms:
                     yield counted()
-            n = len(spans)
-            cols = [batch.column("_row"), batch.column("doc_id"), pa.array(spans, SPAN), pa.array(terms, NEAR), *(pa.nulls(n, t) for t in TYPES[4:])]
-            yield pa.RecordBatch.from_arrays(cols, names=NAMES)
         yield counted()
 
     return scan
 
 
-def find_pii(docs: DataFrame, reach: int = 4, least: int = 8, share: float = 0.5, bits: float = 3.0, held_terms: int = 400_000) -> DataFrame:
+def disclosing_terms(docs: DataFrame, reach: int, least: int, share: float, bits: float, held_terms: int) -> DataFrame:
+    """The terms above the thresholds of find_pii."""
+    scanned = docs.select("text").mapInArrow(_scan(reach, held_terms), "term string, n long, n_near long")
+    counts = durable(scanned.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_near").alias("n_near")))
+    sums = counts.agg(F.sum("n").alias("n"), F.sum("n_near").alias("m")).first()
+    rate = (sums["m"] or 0) / max(1, sums["n"] or 0)
+    return counts.where(F.col("n_near") >= least).where(F.col("n_near") >= share * F.col("n")).where(F.log2(F.col("n_near") / F.col("n") / F.lit(rate or 1.0)) >= bits).select("term")
+
+
+def occurrences(text: str, spans: list[tuple[str, int, int]], terms: frozenset[str]) -> list[tuple[str, int, int]]:
+    """All occurrences of the terms outside the spans, which come by start."""
+    out, at = [], 0
+    for _, a, b in (*spans, ("", len(text), len(text))):
+        if at < a and not terms.isdisjoint(w.lower() for w in WORD.findall(text, at, a)):
+            out += [("term", m.start(), m.end()) for m in WORD.finditer(text, at, a) if m[0].lower() in terms]
+        at = max(at, b)
+    return out
+
+
+def _mark(held, keep: list[str]):
+    def mark(batches):
+        terms = held.value
+        for batch in pieces(batches):
+            out = []
+            for text, had in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                spans = base_spans(text) if had is None else [(s["kind"], s["a"], s["b"]) for s in had]
+                if text and terms:
+                    spans += occurrences(text, [s for s in spans if s[0] != "term"], terms)
+                out.append([{"kind": k, "a": a, "b": b} for k, a, b in sorted(spans, key=lambda s: (s[1], ORDER[s[0]], s[2]))])
+            yield pa.RecordBatch.from_arrays([pa.array(out, SPAN) if c == "spans" else batch.column(c) for c in keep], names=keep)
+
+    return mark
+
+
+def marked(rows: DataFrame, terms: DataFrame, keep: list[str], block_bytes: int) -> DataFrame:
+    """The columns keep of rows (text and others) and spans; terms go out in blocks, a pass each."""
+    terms = durable(terms)
+    blocks = max(1, -(-(terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0) // block_bytes))
+    out = rows.withColumn("spans", F.lit(None).cast(SPANS))
+    for k in range(blocks):
+        mine = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).collect()
+        held = rows.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in mine))
+        last = k + 1 == blocks
+        names = [*keep, "spans"] if last else out.columns
+        out = out.mapInArrow(_mark(held, names), out.select(*names).schema)
+        out = out if last else durable(out)
+    return out
+
+
+def find_pii(docs: DataFrame, reach: int = 4, least: int = 8, share: float = 0.5, bits: float = 3.0, held_terms: int = 400_000, block_bytes: int = 4 << 20) -> DataFrame:
     """_row, doc_id, spans (kind, a, b: base entities and terms) of each document; spans by start and kind, in code points.
 
     Terms: letters only, lower-cased. A term discloses if at least `least` of its occurrences, a
     `share` of all of them, stand within `reach` words of an entity, and if the information
-    log2(P(beside | term) / P(beside)) is `bits` or more. Its occurrences beside entities become
-    spans of kind term. Null texts are empty; rows are judged one by one, repeated ids included.
+    log2(P(beside | term) / P(beside)) is `bits` or more. All its occurrences outside entities, in
+    all documents, become spans of kind term. Null texts are empty; rows are judged one by one,
+    repeated ids included.
     """
     rows = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_row", F.monotonically_increasing_id())
-    seen = durable(rows.mapInArrow(_scan(reach, held_terms), ROW))
-    found = seen.where("row is not null")
-    counts = seen.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_near").alias("n_near"))
-    sums = seen.where("term is not null").agg(F.sum("n").alias("n"), F.sum("n_near").alias("m")).first()
-    rate = (sums["m"] or 0) / max(1, sums["n"] or 0)
-    clear = counts.where(F.col("n_near") >= least).where(F.col("n_near") >= share * F.col("n")).where(F.log2(F.col("n_near") / F.col("n") / F.lit(rate or 1.0)) >= bits).select("term")
-    hits = found.select("row", F.explode("near").alias("x")).select("row", F.col("x.term").alias("term"), F.struct(F.lit("term").alias("kind"), "x.a", "x.b").alias("s"))
-    extra = hits.join(clear, "term").groupBy("row").agg(F.collect_list("s").alias("more"))
-    every = F.concat("spans", F.coalesce("more", F.array().cast("array<struct<kind:string,a:long,b:long>>")))
-    rank = lambda k: F.when(k == "email", 0).when(k == "ip", 1).when(k == "card", 2).when(k == "phone", 3).otherwise(4)
-    keyed = F.transform(every, lambda s: F.struct(s["a"].alias("a"), rank(s["kind"]).alias("r"), s["b"].alias("b"), s["kind"].alias("kind")))
-    spans = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["a"].alias("a"), s["b"].alias("b")))
-    return found.select("row", "doc_id", "spans").join(extra, "row", "left").select(F.col("row").alias("_row"), "doc_id", spans.alias("spans"))
+    return marked(rows, disclosing_terms(docs, reach, least, share, bits, held_terms), ["_row", "doc_id"], block_bytes)
+
+
+def sanitised(docs: DataFrame, reach: int = 4, least: int = 8, share: float = 0.5, bits: float = 3.0, held_terms: int = 400_000, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs with each span of find_pii replaced by its kind in text; all columns stay."""
+
+    def run(batches):
+        for batch in batches:
+            texts = zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
+            said = [redact(t, [(s["kind"], s["a"], s["b"]) for s in spans]) for t, spans in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("_all"), pa.array(said, pa.string())], names=["_all", "text"])
+
+    terms = disclosing_terms(docs, reach, least, share, bits, held_terms)
+    work = marked(carry(docs, "text"), terms, ["_all", "text"], block_bytes)
+    return restore(work.mapInArrow(run, work.select("_all", "text").schema), docs, "text")
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:

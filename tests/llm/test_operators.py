@@ -105,6 +105,22 @@ def test_disclosing_terms(spark):
     assert not any(s.kind == "term" for r in out if r.doc_id >= 12 for s in r.spans)
 
 
+@pytest.mark.parametrize("block", [4 << 20, 1])
+def test_terms_away_from_entities(spark, docs, empty, block):
+    rows = [(i, f"contact zorbinax Quelvane at user{i}@ex.org now") for i in range(12)] + [(i, "contact at now plain words here " * 20) for i in range(12, 40)]
+    rows += [(50, "Ask Zorbinax, or QUELVANE zorbinaxes."), (51, "zorbinax@ex.org zorbinax" + " far" * 9 + " zorbinax"), (52, None), (52, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    out = P.find_pii(table, block_bytes=block).collect()
+    got = {r.doc_id: [(s.kind, s.a, s.b) for s in r.spans] for r in out}
+    assert len(out) == len(rows) and got[50] == [("term", 4, 12), ("term", 17, 25)] and got[52] == [] == got[12]
+    assert got[51] == [("email", 0, 15), ("term", 16, 24), ("term", 61, 69)]
+    said = {r.doc_id: r.text for r in P.sanitised(table, block_bytes=block).collect() if r.doc_id in (3, 12, 50, 51)}
+    assert said == {3: "contact [TERM] [TERM] at [EMAIL] now", 12: dict(rows)[12], 50: "Ask [TERM], or [TERM] zorbinaxes.", 51: "[EMAIL] [TERM]" + " far" * 9 + " [TERM]"}
+    if block > 1:
+        clean = P.sanitised(docs)
+        assert clean.columns == docs.columns and clean.count() == len(TEXTS) and P.sanitised(empty).count() == 0
+
+
 def test_near_duplicates(spark, docs, empty):
     base = [f"t{i}" for i in range(300)]
     rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :])) for i, k in enumerate(range(5, 250, 20))] + [(90, "other words entirely " + PASSAGE), (91, None), (92, None), (93, "a b"), (94, "A  b\n")]
