@@ -20,6 +20,39 @@ TASK_TYPES = [
     ("test", "test|coverage|spec"),
 ]
 
+# The other set of task types, for context around a file.
+CONTEXT_TASK_TYPES = [
+    ("refactor", r"\brefactor\b|\brewrite\b|\brestructure\b|\bclean\s*up\b"),
+    ("debug", r"\bdebug\b|\bfix\b|\bbug\b|\bissue\b|\berror\b|\bcrash\b"),
+    ("add-feature", r"\badd\b|\bcreate\b|\bimplement\b|\bfeature\b|\bbuild\b"),
+    ("explain", r"\bexplain\b|\bunderstand\b|\bhow\b|\bwhat\b|\bwhy\b|\bdocument\b"),
+]
+
+# Misspellings that betray a typing error.
+MISSPELLINGS = [
+    r"\bie\b.*\bie\b",
+    r"\bteh\b",
+    r"\bfucntion\b",
+    r"\breutrn\b",
+    r"\bretrun\b",
+    r"\bconosle\b",
+    r"\bconsle\b",
+    r"\bimprot\b",
+    r"\bexpot\b",
+    r"\bdocumnet\b",
+]
+
+# What is redacted, in this order.
+PRIVATE_KEY = r"-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----[\s\S]*?(?:-----END (?:[A-Z ]+ )?PRIVATE KEY-----|\z)"
+PRIVATE_KEY_SHOWN = "[REDACTED PRIVATE KEY]"
+REDACTIONS = [
+    (r"""\b(?:sk-[\w-]{20,}|gh[pousr]_[\w]{20,}|AKIA[A-Z0-9]{16}|eyJ[\w-]+\.[\w-]+\.[\w-]+)\b""", "[REDACTED]"),
+    (r"""(?i)(\b\w*(?:password|passwd|secret|api[_-]?key|access[_-]?token|authorization)\w*["']?\s*[:=]\s*)(["'`])[^"'`\r\n]*\2""", '$1"[REDACTED]"'),
+    (r"""(?im)^(\s*[\w.-]*(?:password|passwd|secret|api[_-]?key|access[_-]?token|authorization)[\w.-]*\s*[:=]\s*)(?!["'`])[^\r\n]+""", "$1[REDACTED]"),
+    (r"""(?i)(\bBearer\s+)[\w.+/=-]+""", "$1[REDACTED]"),
+    (r"""(\w+://)[^\s/:@]+:[^\s/@]+@""", "$1[REDACTED]@"),
+]
+
 # Paths that rank lower, and by how much.
 LOW_RANKED = ["**/.next/**", "**/dist/**", "**/build/**", "**/coverage/**", "**/*.min.js", "**/node_modules/**"]
 LOW_RANK_FACTOR = 0.42
@@ -62,13 +95,48 @@ def extract_keywords(task: Column, most: int = 10) -> Column:
     return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(TASK_STOP_WORDS))), 1, most)
 
 
-def task_type(task: Column) -> Column:
+def task_type(task: Column, types: list[tuple[str, str]] = TASK_TYPES) -> Column:
+    """The first kind whose pattern the task meets, else general; null and empty tasks are general."""
     out = F.lit("general")
-    for kind, pattern in reversed(TASK_TYPES):
+    for kind, pattern in reversed(types):
         out = F.when(F.lower(task).rlike(pattern), kind).otherwise(out)
     return out
 
 
+def detect_typos(query: Column) -> Column:
+    """Whether a query of three letters or more has a letter three times running, a word over 15 letters or a known misspelling."""
+    long_word = F.exists(F.split(query, r"\s+"), lambda w: F.length(w) > 15)
+    wrong = query.rlike(r"(.)\1{2,}") | long_word | query.rlike("|".join(MISSPELLINGS))
+    return F.coalesce((F.length(query) >= 3) & wrong, F.lit(False))
+
+
+def parse_regex(query: str) -> tuple[str, str] | None:
+    """Pattern and flags of a /pattern/flags query; without flags, case doesn't count."""
+    m = re.match(REGEX_QUERY, query.strip())
+    return (m[1], m[2] or "i") if m else None
+
+
+def regex_parts(query: Column) -> Column:
+    """struct(pattern, flags) of a /pattern/flags query, else null."""
+    q = F.trim(query)
+    flags = F.regexp_extract(q, REGEX_QUERY, 2)
+    return F.when(q.rlike(REGEX_QUERY), F.struct(F.regexp_extract(q, REGEX_QUERY, 1).alias("pattern"), F.when(flags == "", "i").otherwise(flags).alias("flags")))
+
+
+def namespace(project: Column, prefix: str, profile: Column) -> Column:
+    """The name of a project's vector collection: letters, digits and _ of the project, and 12 hex digits of the embedding profile's hash unless it is null."""
+    mark = F.when(profile.isNull(), "").otherwise(F.concat(F.lit("_"), F.substring(F.sha2(profile, 256), 1, 12)))
+    return F.concat(F.lit(prefix), F.regexp_replace(project, "[^a-zA-Z0-9_]", "_"), mark)
+
+
+def normalize_path(path: Column) -> Column:
+    """Forward slashes, without . and with .. taken back where a part is left to take."""
+    popped = lambda s: F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))
+    parts = F.split(F.translate(path, "\\", "/"), "/")
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda s, p: F.when((p == ".") | (p == ""), s).when(p == "..", popped(s)).otherwise(F.concat(s, F.array(p))))
+    return F.array_join(walked, "/")
+
+
 def route_mode(query: Column) -> Column:
     """The search mode that `auto` means for a query: regex, keyword or hybrid."""
     q = F.trim(query)
@@ -138,17 +206,9 @@ def path_quality(path: Column, score: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Private keys (line count kept), token shapes, quoted and bare credentials, bearer tokens and URL credentials."""
-    secret = "password|passwd|secret|api[_-]?key|access[_-]?token|authorization"
-    key = r"-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----[\s\S]*?(?:-----END (?:[A-Z ]+ )?PRIVATE KEY-----|\z)"
-    blocks, between = F.regexp_extract_all(text, F.lit(f"({key})"), 1), F.split(text, key, -1)
-    hidden = F.transform(blocks, lambda b: F.regexp_replace(b, r"[^\n]+", "[REDACTED PRIVATE KEY]"))
+    blocks, between = F.regexp_extract_all(text, F.lit(f"({PRIVATE_KEY})"), 1), F.split(text, PRIVATE_KEY, -1)
+    hidden = F.transform(blocks, lambda b: F.array_join(F.transform(F.split(b, "\n", -1), lambda _: F.lit(PRIVATE_KEY_SHOWN)), "\n"))
     out = F.when(F.size(blocks) > 0, F.array_join(F.zip_with(between, hidden, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(text)
-    for pattern, to in (
-        (r"\b(?:sk-[\w-]{20,}|gh[pousr]_\w{20,}|AKIA[A-Z0-9]{16}|eyJ[\w-]+\.[\w-]+\.[\w-]+)\b", "[REDACTED]"),
-        (rf"(?i)(\b\w*(?:{secret})\w*[\"']?\s*[:=]\s*)([\"'`])[^\"'`\r\n]*\2", '$1"[REDACTED]"'),
-        (rf"(?im)^(\s*[\w.-]*(?:{secret})[\w.-]*\s*[:=]\s*)(?![\"'`])[^\r\n]+", "$1[REDACTED]"),
-        (r"(?i)(\bBearer\s+)[\w.+/=-]+", "$1[REDACTED]"),
-        (r"(\w+://)[^\s/:@]+:[^\s/@]+@", "$1[REDACTED]@"),
-    ):
+    for pattern, to in REDACTIONS:
         out = F.regexp_replace(out, pattern, to)
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphion.functions.languages import detect_language
@@ -42,7 +42,7 @@ def parse_git_log(blocks: DataFrame) -> DataFrame:
     """Commits (hash, author, date, message, files) of log blocks: a header hash|author|email|date|message, then file lines."""
     lines = F.split(F.trim("block"), "\n")
     head = F.split(lines[0], r"\|")
-    names = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.trim(x)), lambda x: x != "")
     return blocks.where(F.size(head) >= 5).select(head[0].alias("hash"), head[1].alias("author"), head[3].alias("date"), F.array_join(F.slice(head, 5, F.size(head)), "|").alias("message"), names.alias("files"))
 
 
@@ -50,3 +50,22 @@ def recent_changes(commits: DataFrame, files: DataFrame) -> DataFrame:
     """Each commit with how many of its files are indexed and how many are not."""
     each = commits.select("hash", F.explode("files").alias("file")).join(files.select("file").distinct().withColumn("_in", F.lit(True)), "file", "left")
     return each.groupBy("hash").agg(F.count_if(F.col("_in")).alias("indexed"), F.count_if(F.col("_in").isNull()).alias("not_indexed"))
+
+
+def file_history(commits: DataFrame, file: str, limit: int = 10) -> DataFrame:
+    """The last commits (as parse_git_log gives them) that touch a file."""
+    return commits.where(F.array_contains("files", file)).orderBy(F.desc("date"), "hash").limit(limit)
+
+
+def since(commits: DataFrame, today: Column, days: int) -> DataFrame:
+    """Commits of the last days."""
+    return commits.where(F.to_date("date") >= F.date_sub(today, days))
+
+
+def readable(files: DataFrame, ignore: list[str] = (), most_bytes: int = 1 << 16) -> DataFrame:
+    """files (file relative to the root, content as bytes) that may be read again: not ignored, not above the root, not too large, without NUL."""
+    keep = ~F.col("file").startswith("/") & ~F.col("file").rlike(r"(^|/)\.\.(/|$)")
+    keep &= (F.octet_length("content") <= most_bytes) & (F.expr("position(X'00' IN content)") == 0)
+    if ignore:
+        keep &= ~F.col("file").rlike(ignore_regex(list(ignore)))
+    return files.where(keep)
