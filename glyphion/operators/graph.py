@@ -41,23 +41,6 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("nodes")).join(edges.agg(F.count("*").alias("edges"), F.count_if(F.col("target").isNull()).alias("unresolved")))
 
 
-def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 1, most_nodes: int = 40, most_edges: int = 200) -> DataFrame:
-    """Edges (edge_id, source, target, hop) met from seeds (node) in both directions, level by level, within caps set by edge order."""
-    ordered = edges.where("target is not null")
-    frontier, nodes, met = seeds.select("node").distinct(), seeds.select("node").distinct(), None
-    for hop in range(1, depth + 1):
-        out = ordered.join(frontier, F.col("source") == F.col("node"), "left_semi").union(ordered.join(frontier, F.col("target") == F.col("node"), "left_semi")).distinct()
-        if met is not None:
-            out = out.join(met.select("edge_id"), "edge_id", "left_anti")
-        met = out.withColumn("hop", F.lit(hop)) if met is None else met.unionByName(out.withColumn("hop", F.lit(hop)))
-        ends = out.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-        frontier = ends.join(nodes, "node", "left_anti")
-        nodes = nodes.union(frontier)
-    seen = Window.orderBy("hop", "edge_id").rowsBetween(Window.unboundedPreceding, 0)
-    top = met.orderBy("hop", "edge_id").limit(most_edges)
-    return top.withColumn("_n", F.size(F.collect_set("source").over(seen)) + F.size(F.array_except(F.collect_set("target").over(seen), F.collect_set("source").over(seen)))).where(F.col("_n") <= most_nodes).drop("_n")
-
-
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports (source, specifier) with target: the first existing candidate of a relative specifier, else null.
 

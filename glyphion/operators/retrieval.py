@@ -5,57 +5,71 @@ Queries are a dict of id and text: they are the request, not data, and become li
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from glyphion.functions import text as T
+from glyphion.functions.stem import fold, stems
+from glyphion.storage import Scratch
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def _query_terms(docs: DataFrame, queries: dict[int, str]) -> DataFrame:
-    spark = docs.sparkSession
+def _query_terms(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
+    """query_id, n_terms, stem of each distinct stem of a query."""
     rows = spark.createDataFrame([(int(i), q) for i, q in queries.items()], "query_id long, query string")
-    return rows.select("query_id", F.array_distinct(T.tokens(F.col("query"))).alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    each = rows.select("query_id", F.explode(F.array_distinct(stems(T.tokens(fold(F.col("query")))))).alias("stem"))
+    return each.join(each.groupBy("query_id").agg(F.count("*").cast("int").alias("n_terms")), "query_id")
 
 
-def bm25(docs: DataFrame, queries: dict[int, str], text: str = "text", key: str = "doc_id") -> DataFrame:
+def bm25(docs: DataFrame, queries: dict[int, str], text: str = "text", key: str = "doc_id", file: str | None = None) -> DataFrame:
     """query_id, key, score, matched, n_terms for documents with any of a query's terms.
 
-    Only occurrences of query terms are shuffled; document lengths travel with them. Statistics
-    cover all documents.
+    Terms are Porter stems of words without accents, of the file path (where there is one) and the
+    text together. Statistics cover all documents, whatever is filtered later. One pass over the
+    documents gives all counts: each sends its length under an empty term, beside the occurrences
+    of words that could have a query's stem; only these are stemmed, and only its stems shuffled.
     """
-    wanted = _query_terms(docs, queries)
-    words = sorted({w for q in queries.values() for w in query_words(q)})
-    held = docs.select(key, T.tokens(F.col(text)).alias("_t")).withColumn("_len", F.size("_t").cast("long"))
-    stats = held.agg(F.count("*").alias("_docs"), F.avg("_len").alias("_mean"))
-    hits = held.select(key, "_len", F.explode(F.filter("_t", lambda t: t.isin(words))).alias("term"))
-    tf = hits.groupBy(key, "term").agg(F.count("*").alias("_tf"), F.first("_len").alias("_len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("_df"))
+    wanted = _query_terms(docs.sparkSession, queries)
+    asked = wanted.collect()  # the request: a few words a query
+    # A word and its stem are alike but for the stem's last letter.
+    begins = sorted({r.stem[: max(1, len(r.stem) - 1)] for r in asked})
+    if not begins:
+        return docs.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0).alias("n_terms"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).where("false")
+    fits = "^(?:" + "|".join(map(re.escape, begins)) + ")"
+    whole = F.col(text) if file is None else F.concat_ws(" ", F.col(file), F.col(text))
+    held = docs.select(key, T.tokens(fold(whole)).alias("_t")).select(key, F.size("_t").cast("long").alias("_len"), F.filter("_t", lambda t: t.rlike(fits)).alias("_own"))
+    asked_for = F.filter(stems(F.col("_own")), lambda w: w.isin(sorted({r.stem for r in asked})))
+    each = held.select(key, "_len", F.explode(F.concat(F.array(F.lit("")), asked_for)).alias("stem"))
+    tf = each.groupBy(key, "stem").agg(F.count("*").alias("_tf"), F.first("_len").alias("_len"))
+    df = F.broadcast(tf.groupBy("stem").agg(F.count("*").alias("_df"), F.sum("_len").alias("_sum")))
+    stats = F.broadcast(df.where("stem = ''").select(F.col("_df").alias("_docs"), (F.col("_sum") / F.col("_df")).alias("_mean")))
     idf = F.greatest(F.log((F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_mean")))
-    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(wanted), "term").join(F.broadcast(stats))
+    scored = tf.join(df.drop("_sum"), "stem").join(F.broadcast(wanted), "stem").join(stats)
     return scored.groupBy("query_id", key, "n_terms").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
 
 
-def query_words(q: str) -> list[str]:
-    """T.tokens for a string on the driver."""
-    return [w for w in "".join(c if c.isalnum() else " " for c in q.lower()).split() if w]
-
-
 def ranked(hits: DataFrame, limit: int, key: str = "doc_id", score: str = "score") -> DataFrame:
+    """The best of each query; every task first cuts its own rows to the limit."""
     by = Window.partitionBy("query_id").orderBy(F.desc(score), key)
     return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
 
-def keyword_search(docs: DataFrame, queries: dict[int, str], limit: int = 10, relaxed: bool = True) -> DataFrame:
+def keyword_search(docs: DataFrame, queries: dict[int, str], limit: int = 10, relaxed: bool = True, text: str = "text", key: str = "doc_id", file: str | None = None) -> DataFrame:
     """Documents with all terms; with `relaxed`, those with any term where no document has all of two or more."""
-    hits = bm25(docs, queries)
+    hits = bm25(docs, queries, text, key, file)
     whole = F.col("matched") == F.col("n_terms")
     if not relaxed:
-        return ranked(hits.where(whole), limit)
-    some = hits.withColumn("_any", F.max(whole).over(Window.partitionBy("query_id")))
-    return ranked(some.where(whole | (~F.col("_any") & (F.col("n_terms") >= 2))).drop("_any"), limit)
+        return ranked(hits.where(whole), limit, key)
+    met = hits.groupBy("query_id").agg(F.max(whole).alias("_any"))  # one row a query
+    some = hits.join(F.broadcast(met), "query_id")
+    return ranked(some.where(whole | (~F.col("_any") & (F.col("n_terms") >= 2))).drop("_any"), limit, key)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -65,13 +79,61 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def vector_search(rows: DataFrame, queries: DataFrame, limit: int = 10, where: Column | None = None, most_queries: int = 1000) -> DataFrame:
-    """The nearest rows (vec_id, embedding) of each of a few queries (query_id, query), filtered first."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search in blocks")
-    rows = rows if where is None else rows.where(where)
-    pairs = rows.join(F.broadcast(queries), F.size("embedding") == F.size("query"))
-    return ranked(pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score")), limit, "vec_id")
+def vector_search(rows: DataFrame, queries: DataFrame, limit: int = 10, where: Column | None = None, queries_a_pass: int = 4000) -> DataFrame:
+    """query_id, vec_id, score, rank: the nearest rows (vec_id, embedding) by cosine of each of queries (query_id, query), filtered first.
+
+    Queries go out in passes of about queries_a_pass rows, so what is broadcast is bounded; with
+    several, each pass's result is stored before the next. Tasks hold matrices and return their best
+    rows of each query. Null vectors, those of another length and those of length zero score nothing.
+    """
+    rows = (rows if where is None else rows.where(where)).where("embedding is not null").select("vec_id", "embedding")
+    spark = rows.sparkSession
+    passes = max(1, -(-queries.count() // queries_a_pass))
+    scratch, found = Scratch(), None
+    ids = [rows.schema["vec_id"], queries.schema["query_id"]]
+    schema = StructType([StructField("query_id", ids[1].dataType), StructField("vec_id", ids[0].dataType), StructField("score", DoubleType())])
+    for p in range(passes):
+        mine = queries.where("query is not null").where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).select("query_id", "query").collect()
+        held = spark.sparkContext.broadcast([(r[0], np.array(r[1], dtype=np.float64)) for r in mine])
+        part = rows.mapInArrow(_nearest(held, limit), schema)
+        if passes > 1:
+            part = scratch.durable(ranked(part, limit, "vec_id").drop("rank"))
+            held.destroy()
+        found = part if found is None else found.unionByName(part)
+    best = ranked(found, limit, "vec_id")
+    return best if passes == 1 else scratch.finish(best)
+
+
+def _nearest(held, limit: int):
+    def search(batches):
+        by_length: dict[int, tuple[list, np.ndarray]] = {}
+        for n in {len(v) for _, v in held.value}:
+            own = [(i, v) for i, v in held.value if len(v) == n and v.any()]
+            if own:
+                matrix = np.stack([v for _, v in own])
+                by_length[n] = [i for i, _ in own], matrix / np.sqrt((matrix * matrix).sum(1, keepdims=True))
+        for batch in batches:
+            ids, column = batch.column("vec_id").to_pylist(), batch.column("embedding")
+            lengths = np.diff(np.asarray(column.offsets))
+            flat = np.asarray(column.values.fill_null(float("nan")), dtype=np.float64)
+            out: list[tuple] = []
+            for n, (query_ids, q) in by_length.items():
+                at = np.flatnonzero(lengths == n)
+                if not len(at):
+                    continue
+                v = flat[np.asarray(column.offsets)[:-1][at][:, None] + np.arange(n)]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    v = v / np.sqrt((v * v).sum(1, keepdims=True))
+                at, v = at[~np.isnan(v).any(1)], v[~np.isnan(v).any(1)]
+                for a in range(0, len(query_ids), 256):
+                    scores = np.round(q[a : a + 256] @ v.T, 6)
+                    for k, row in enumerate(scores):
+                        # Ties at the cut all stay; the merge orders them by id.
+                        best = np.flatnonzero(row >= np.partition(row, -limit)[-limit]) if len(row) > limit else np.arange(len(row))
+                        out += [(query_ids[a + k], ids[at[j]], float(row[j])) for j in best]
+            yield pa.RecordBatch.from_pydict({"query_id": [o[0] for o in out], "vec_id": [o[1] for o in out], "score": pa.array([o[2] for o in out], pa.float64())})
+
+    return search
 
 
 def rrf(keyword: DataFrame, semantic: DataFrame, key: str = "doc_id", k: int = 60) -> DataFrame:

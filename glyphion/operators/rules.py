@@ -1,48 +1,126 @@
-"""Line rules over source text: evidence, priority and a plan by category."""
+"""Line rules over source text: evidence, priority, coverage and a plan by category."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphion.functions.text import redact
+from glyphion.functions.text import glob_regex, redact
+from glyphion.operators.search import reranked
 
-# Rule id, category, CWE, kind, priority, pattern.
+# Rule id, category, CWE, title, kind, priority, pattern, steps that validate a finding.
 RULES = [
-    ("sql-concat", "injection", "CWE-89", "candidate", 80, r"""(?i)\b(?:SELECT|INSERT|UPDATE|DELETE)\b.*(?:\$\{|["'`]\s*\+|%\s*[\w(]|\.format\s*\()"""),
-    ("shell", "command_execution", "CWE-78", "candidate", 90, r"""\b(?:eval|exec|execSync|os\.system)\s*\(|shell\s*[:=]\s*(?:true|True)\b"""),
-    ("html", "xss", "CWE-79", "candidate", 80, r"""dangerouslySetInnerHTML|\.innerHTML\s*=|\b(?:mark_safe|Html\.Raw)\s*\("""),
-    ("outbound", "ssrf", "CWE-918", "candidate", 65, r"""\b(?:fetch|requests\.(?:get|post)|axios\.(?:get|post)|httpx\.(?:get|post))\s*\("""),
-    ("file-access", "path_traversal", "CWE-22", "candidate", 65, r"""\b(?:readFile(?:Sync)?|writeFile(?:Sync)?|sendFile|send_file|open|extractall)\s*\("""),
-    ("deserialize", "deserialization", "CWE-502", "candidate", 85, r"""\b(?:pickle\.loads?|yaml\.load|unserialize|ObjectInputStream)\s*\("""),
-    ("weak-crypto", "crypto", "CWE-327", "candidate", 75, r"""(?i)\b(?:md5|sha1)\s*\(|createHash\s*\(\s*["'](?:md5|sha1)["']|verify_signature["']?\s*[:=]\s*(?:false|False)"""),
-    ("credential", "secrets", "CWE-798", "candidate", 100, r"""(?i)(?:api[_-]?key|secret|password|access[_-]?token)\s*[:=]\s*["'][^"'\r\n]{8,}["']|\b(?:sk-[\w-]{20,}|AKIA[A-Z0-9]{16}|gh[pousr]_[\w]{20,})\b|BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY|^\s*[\w.-]*(?:password|passwd|secret|api[_-]?key|access[_-]?token)[\w.-]*\s*[:=]\s*[^\s"'`]{8,}"""),
-    ("debug-tls", "configuration", "CWE-16", "candidate", 75, r"""\bDEBUG\s*[:=]\s*(?:true|True)|rejectUnauthorized\s*:\s*false|verify\s*=\s*False|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*["']?0"""),
-    ("auth", "authentication", "CWE-287", "surface", 60, r"""(?i)\b(?:login|authenticate|verifyToken|requireAuth|jwt\.verify|check_password|set_cookie)\s*\("""),
-    ("route", "authorization", "CWE-862", "surface", 60, r"""\b(?:app|router)\.(?:get|post|put|patch|delete|use)\s*\(|permission_classes|has_permission|IsAuthenticated|@(?:login_required|permission_required)"""),
-    ("dependency", "dependencies", "CWE-1395", "surface", 40, r"""["'](?:dependencies|devDependencies)["']\s*:|^\s*[\w.-]+\s*(?:==|>=|~=)"""),
+    ("sql-concat", "injection", "CWE-89", "SQL statement assembled with interpolation/concatenation", "candidate", 80, r"""(?i)\b(?:SELECT|INSERT|UPDATE|DELETE)\b.*(?:\$\{|["'`]\s*\+|%\s*[\w(]|\.format\s*\()""",
+     ["Trace each interpolated value to its input and any parameter binding.", "Add a regression test that treats input as data and verifies query parameters."]),
+    ("shell", "command_execution", "CWE-78", "Shell or dynamic code execution boundary", "candidate", 90, r"""\b(?:eval|exec|execSync|os\.system)\s*\(|shell\s*[:=]\s*(?:true|True)\b""",
+     ["Trace command/code input and check whether a shell interprets it.", "Use a sandboxed test with harmless input; verify argument separation and allowlists."]),
+    ("html", "xss", "CWE-79", "HTML rendering sink", "candidate", 80, r"""dangerouslySetInnerHTML|\.innerHTML\s*=|\b(?:mark_safe|Html\.Raw)\s*\(""",
+     ["Trace HTML provenance and sanitization through the rendering boundary.", "Add a browser regression test asserting untrusted markup cannot execute."]),
+    ("outbound", "ssrf", "CWE-918", "Outbound request boundary", "candidate", 65, r"""\b(?:fetch|requests\.(?:get|post)|axios\.(?:get|post)|httpx\.(?:get|post))\s*\(""",
+     ["Trace URL, redirects, DNS resolution and destination allowlists.", "Use a controlled local HTTP fixture to verify restricted destinations and redirect handling."]),
+    ("file-access", "path_traversal", "CWE-22", "Filesystem access boundary", "candidate", 65, r"""\b(?:readFile(?:Sync)?|writeFile(?:Sync)?|sendFile|send_file|open|extractall)\s*\(""",
+     ["Trace filename/archive entries and verify canonical paths remain inside the intended root.", "Add a temporary-directory test covering parent traversal and symlink escape."]),
+    ("deserialize", "deserialization", "CWE-502", "Potentially unsafe object deserialization", "candidate", 85, r"""\b(?:pickle\.loads?|yaml\.load|unserialize|ObjectInputStream)\s*\(""",
+     ["Determine whether serialized bytes can be attacker-controlled and which constructors are enabled.", "Verify a safe parser/schema with a benign malformed-input regression test."]),
+    ("weak-crypto", "crypto", "CWE-327", "Weak algorithm or disabled token verification", "candidate", 75, r"""(?i)\b(?:md5|sha1)\s*\(|createHash\s*\(\s*["'](?:md5|sha1)["']|verify_signature["']?\s*[:=]\s*(?:false|False)""",
+     ["Identify the security purpose; non-security checksums are not vulnerabilities.", "Verify appropriate password hashing, token signature/algorithm checks or integrity protection."]),
+    ("credential", "secrets", "CWE-798", "Credential-like literal (value redacted)", "candidate", 100, r"""(?i)(?:api[_-]?key|secret|password|access[_-]?token)\s*[:=]\s*["'][^"'\r\n]{8,}["']|\b(?:sk-[\w-]{20,}|AKIA[A-Z0-9]{16}|gh[pousr]_[\w]{20,})\b|BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY""",
+     ["Check locally whether the value is an example/fixture or a deployed credential; do not reveal it.", "For a real exposed credential, rotate/revoke it and replace literals with secret injection."]),
+    ("debug-tls", "configuration", "CWE-16", "Debug or transport verification override", "candidate", 75, r"""\bDEBUG\s*[:=]\s*(?:true|True)|rejectUnauthorized\s*:\s*false|verify\s*=\s*False|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*["']?0""",
+     ["Check the effective deployed configuration, environment overrides and trust boundary.", "Assert secure production defaults and explicit local-development opt-ins."]),
+    ("auth", "authentication", "CWE-287", "Authentication/session entry point", "surface", 60, r"""(?i)\b(?:login|authenticate|verifyToken|requireAuth|jwt\.verify|check_password|set_cookie)\s*\(""",
+     ["Map token/session creation, verification, expiry and recovery flows.", "Test invalid, expired and revoked credentials and rate limits with owned test accounts."]),
+    ("route", "authorization", "CWE-862", "Route or access-control boundary", "surface", 60, r"""\b(?:app|router)\.(?:get|post|put|patch|delete|use)\s*\(|permission_classes|has_permission|IsAuthenticated|@(?:login_required|permission_required)""",
+     ["Trace caller identity, role, tenant and object ownership from route to data access.", "Use two owned test accounts to verify denied cross-user/tenant access and privileged actions."]),
+    ("dependency", "dependencies", "CWE-1395", "Dependency manifest for version/advisory review", "surface", 40, r"""["'](?:dependencies|devDependencies)["']\s*:|^\s*[\w.-]+\s*(?:==|>=|~=)""",
+     ["Resolve installed versions from lockfiles and compare with current authoritative advisories.", "Assess reachability and configuration before assigning a finding; this tool does not query advisory feeds."]),
 ]
+# Bare credentials, which the rule `credential` also takes, and files that hold nothing else.
+BARE_CREDENTIAL = r"""(?i)^\s*[\w.-]*(?:password|passwd|secret|api[_-]?key|access[_-]?token)[\w.-]*\s*[:=]\s*[^\s"'`]{8,}"""
+CONTAINERS = r"(?i)(^|/)(?:\.env(?:\..*)?|\.mcp\.json|\.npmrc|\.pypirc|\.netrc)$|\.(?:pem|key|p12|pfx)$"
+DEFAULT_QUERY = "Review source security boundaries and prioritize evidence for manual validation"
+LONG_LINE, EXCERPT, REACH, QUERY_WORDS = 16_000, 1400, 2, 40
+
 
+def _path(files: DataFrame) -> Column:
+    return F.col("file").cast("string")
 
-def scan(files: DataFrame, most_chars: int = 16_000, reach: int = 2, query: str = "") -> DataFrame:
-    """file, line, rule, category, cwe, kind, score, excerpt: each rule that a line meets. files: file, text.
 
-    Lines over most_chars are skipped. Excerpts come from the redacted text. The score is the
-    rule's priority and 20 for each distinct query word (of three letters or more) in file,
-    category or excerpt.
+def scan(files: DataFrame, file_pattern: str | None = None, categories: list[str] | None = None, rules: list[tuple] = RULES) -> DataFrame:
+    """id, file, line, category, rule, cwe, title, status, priority, excerpt, hash of each rule that a line meets. files: file, text.
+
+    Files that only hold credentials are left out, and so are lines over 16,000 characters; both
+    are counted by coverage(). The excerpt has two lines more on both sides, from the text as
+    redacted as a whole, and up to 1,400 characters of them. Null texts have no lines.
     """
-    lines = files.select("file", F.split(redact(F.col("text")), "\n", -1).alias("_shown"), F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line"))
-    lines = lines.where(F.length("_line") <= most_chars)
-    met = F.array_compact(F.array(*(F.when(F.col("_line").rlike(p), F.struct(F.lit(i).alias("rule"), F.lit(c).alias("category"), F.lit(w).alias("cwe"), F.lit(k).alias("kind"), F.lit(n).alias("priority"))) for i, c, w, k, n, p in RULES)))
-    hits = lines.where(F.size(met) > 0).select("file", "_at", "_shown", F.explode(met).alias("r"))
-    from_ = F.greatest(F.col("_at") + 1 - reach, F.lit(1))
-    excerpt = F.substring(F.array_join(F.slice("_shown", from_, F.col("_at") + 2 + reach - from_), "\n"), 1, 1400)
-    out = hits.select("file", (F.col("_at") + 1).cast("long").alias("line"), "r.*", excerpt.alias("excerpt"))
-    words = sorted({w for w in query.lower().split() if len(w) >= 3})[:40]
-    bonus = sum((F.when(F.instr(F.lower(F.concat_ws(" ", "file", "category", "excerpt")), w) > 0, 20).otherwise(0) for w in words), F.lit(0))
-    return out.withColumn("score", (F.col("priority") + bonus).cast("long")).drop("priority")
-
-
-def plan(evidence: DataFrame) -> DataFrame:
-    """Evidence, files and the best score of each category."""
-    return evidence.groupBy("category").agg(F.count("*").alias("evidence"), F.countDistinct("file").alias("files"), F.max("score").alias("score"))
+    mine = [r for r in rules if not categories or r[1] in categories]
+    scoped = _scoped(files, file_pattern).where(~_path(files).rlike(CONTAINERS))
+    lines = scoped.select("file", F.sha1(F.col("text").cast("binary")).alias("hash"), "text", F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line"))
+    meets = lambda r: F.col("_line").rlike(r[6]) | (F.col("_line").rlike(BARE_CREDENTIAL) if r[0] == "credential" else F.lit(False))
+    met = F.array_compact(F.array(*(F.when(meets(r), F.lit(i)) for i, r in enumerate(mine)))) if mine else F.array().cast("array<int>")
+    # The redacted text is made once a file that has a hit, not carried beside each of its lines.
+    hits = lines.where(F.length("_line") <= LONG_LINE).select("file", "hash", "_at", met.alias("_r")).where(F.size("_r") > 0)
+    by_file = hits.groupBy("file", "hash").agg(F.collect_list(F.struct("_at", "_r")).alias("_hits"))
+    shown = scoped.select("file", F.sha1(F.col("text").cast("binary")).alias("hash"), F.split(redact(F.col("text")), "\n", -1).alias("_shown")).dropDuplicates(["file", "hash"])
+    first = lambda at: F.greatest(at + 1 - REACH, F.lit(1))
+    cut = lambda at: F.substring(F.array_join(F.slice(F.col("_shown"), first(at), at + 2 + REACH - first(at)), "\n"), 1, EXCERPT)
+    each = by_file.join(shown, ["file", "hash"]).select("file", "hash", F.explode(F.transform("_hits", lambda h: F.struct(h["_at"].alias("at"), h["_r"].alias("r"), cut(h["_at"]).alias("excerpt")))).alias("h"))
+    each = each.select("file", "hash", (F.col("h.at") + 1).cast("long").alias("line"), "h.excerpt", F.explode("h.r").alias("_i"))
+    named = F.array(*(F.struct(F.lit(r[1]).alias("category"), F.lit(r[0]).alias("rule"), F.lit(r[2]).alias("cwe"), F.lit(r[3]).alias("title"), F.lit("needs_review" if r[4] == "candidate" else "surface").alias("status"), F.lit(r[5]).alias("priority")) for r in mine))
+    out = each.withColumn("r", F.get(named, F.col("_i"))) if mine else each.withColumn("r", F.lit(None).cast("struct<category:string,rule:string,cwe:string,title:string,status:string,priority:int>"))
+    return out.select(F.concat_ws(":", "r.rule", "file", "line").alias("id"), "file", "line", "r.*", "excerpt", "hash")
+
+
+def _scoped(files: DataFrame, file_pattern: str | None) -> DataFrame:
+    rows = files.select("file", "text")
+    return rows if file_pattern is None else rows.where(_path(rows).rlike(glob_regex(file_pattern)))
+
+
+def coverage(files: DataFrame, file_pattern: str | None = None) -> DataFrame:
+    """One row: indexed, scoped, scanned and skipped files, lines read, long lines left out, and whether any were."""
+    inside = F.lit(True) if file_pattern is None else _path(files).rlike(glob_regex(file_pattern))
+    skipped = inside & (_path(files).rlike(CONTAINERS) | F.col("text").isNull())
+    sizes = F.transform(F.split("text", "\n", -1), F.length)
+    lines, long_ = F.size(sizes), F.size(F.filter(sizes, lambda n: n > LONG_LINE))
+    read = inside & ~skipped
+    one = files.select(
+        inside.alias("_in"), skipped.alias("_skip"), F.when(read, lines).otherwise(0).alias("_lines"), F.when(read, long_).otherwise(0).alias("_long"))
+    out = one.agg(
+        F.count("*").alias("indexed_files"), F.count_if("_in").alias("scoped_files"), F.count_if(F.col("_in") & ~F.col("_skip")).alias("scanned_files"), F.count_if("_skip").alias("skipped_files"),
+        F.coalesce(F.sum("_lines"), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.sum("_long"), F.lit(0)).cast("long").alias("long_lines"),
+    )
+    return out.withColumn("truncated", F.col("long_lines") > 0)
+
+
+def query_words(query: str | None) -> list[str]:
+    """Distinct words of three letters, digits or _ or more, lower-cased, the first forty."""
+    import re
+
+    return list(dict.fromkeys(re.findall(r"\w{3,}", (query or DEFAULT_QUERY).lower())))[:QUERY_WORDS]
+
+
+def scored(evidence: DataFrame, query: str | None = None) -> DataFrame:
+    """evidence with score: the rule's priority and 20 for each query word in file, category, title or excerpt."""
+    said = F.lower(F.concat_ws(" ", F.col("file").cast("string"), "category", "title", "excerpt"))
+    bonus = sum((F.when(F.contains(said, F.lit(w)), 20).otherwise(0) for w in query_words(query)), F.lit(0))
+    return evidence.withColumn("score", (F.col("priority") + bonus).cast("long"))
+
+
+def audit(files: DataFrame, query: str | None = None, limit: int = 20, rerank: Callable[[str, list[str]], list[float]] | None = None, pool: int = 50, **scope) -> tuple[DataFrame, str]:
+    """The best evidence, ranked by score, file, line and rule, and what reranking did. The pool has at most 200 rows."""
+    limit = max(1, min(100, limit))
+    top = scored(scan(files, **scope), query).orderBy(F.desc("score"), "file", "line", "rule").limit(min(200, max(limit, pool)))
+    hits, status = reranked(top.withColumn("content", F.concat(F.col("category"), F.lit(": "), F.col("title"), F.lit("\n"), F.col("excerpt"))), query or DEFAULT_QUERY, rerank)
+    return hits.drop("content").orderBy(F.desc("score"), "file", "line", "rule").limit(limit), status
+
+
+def plan(evidence: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
+    """category, evidence, files, score (the best priority) and validation steps of each category that has evidence; nothing is executed."""
+    steps = {}
+    for r in rules:
+        steps[r[1]] = list(dict.fromkeys(steps.get(r[1], []) + r[7]))
+    known = F.create_map(*(x for c, v in steps.items() for x in (F.lit(c), F.array(*map(F.lit, v)))))
+    out = evidence.groupBy("category").agg(F.count("*").alias("evidence"), F.countDistinct("file").alias("files"), F.max("priority").alias("score"))
+    return out.select("category", "evidence", "files", "score", F.try_element_at(known, F.col("category")).alias("validation"), F.lit(False).alias("executed"))

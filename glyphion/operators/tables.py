@@ -11,6 +11,40 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row a key, the last one in order: what remains when rows are written one after the other."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return best.select(*keys, *(F.col("_r").getField(c).alias(c) for c in rest)).select(rows.columns)
+
+
+def delete_files(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What stays and what goes when files (project, file) leave a table (project, file, ...)."""
+    gone = files.select("project", "file").distinct()
+    return rows.join(gone, ["project", "file"], "left_anti"), rows.join(gone, ["project", "file"], "left_semi")
+
+
+def delete_project(held: dict[str, DataFrame], project: str) -> dict[str, DataFrame]:
+    """All tables of an index, conversations included, without a project's rows."""
+    return {name: rows.where(~F.col("project").eqNullSafe(F.lit(project))) for name, rows in held.items()}
+
+
+def upsert_vectors(old: DataFrame, new: DataFrame, dimensions: int) -> DataFrame:
+    """Vectors (id, vector) after an upsert; a vector of another length, null or with parts that aren't finite is an error."""
+    fine = (F.size("vector") == dimensions) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    checked = new.withColumn("vector", F.when(fine, F.col("vector")).otherwise(F.raise_error(F.concat(F.lit(f"a vector needs {dimensions} finite parts: "), F.col("id").cast("string"))).cast(new.schema["vector"].dataType)))
+    return upsert(old, checked, ["id"])
+
+
+def profile_gate(projects: DataFrame, profile: str) -> DataFrame:
+    """project, action: whether files may be added one by one (`incremental`) or all must be embedded anew (`rebuild`).
+
+    projects: project, profile. A profile that begins with `pending:` is of a run that didn't end.
+    """
+    same = F.col("profile").eqNullSafe(F.lit(profile))
+    return projects.select("project", F.when(same, "incremental").otherwise("rebuild").alias("action"))
+
+
 def changes(scanned: DataFrame, indexed: DataFrame) -> DataFrame:
     """file, status: new, changed, unchanged or deleted, by content hash of (file, hash)."""
     a, b = scanned.select("file", F.col("hash").alias("now")), indexed.select("file", F.col("hash").alias("was"))
@@ -62,16 +96,43 @@ def chunk_of_line(points: DataFrame, chunks: DataFrame, span: int = 64) -> DataF
     return points.join(met.groupBy("file", "line").agg(F.min("chunk_index").alias("chunk_index")), ["file", "line"], "left")
 
 
-def overlaps(hits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of hits and nodes of one file whose line ranges meet."""
-    b = nodes.select("file", F.col("id").alias("node_id"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
-    return hits.join(b, "file").where("start_line <= _e and _s <= end_line").drop("_s", "_e")
+def overlaps(hits: DataFrame, nodes: DataFrame, span: int = 64) -> DataFrame:
+    """Pairs of hits and nodes of one file whose line ranges meet.
+
+    Both are keyed by the blocks of `span` lines they touch; a pair is taken in the first block
+    that they share, so it comes once.
+    """
+    blocks = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / span), F.floor(F.col(b) / span)))
+    b = nodes.select("file", F.col("id").alias("node_id"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e")).withColumn("_b", blocks("_s", "_e"))
+    met = hits.withColumn("_b", blocks("start_line", "end_line")).join(b, ["file", "_b"]).where("start_line <= _e and _s <= end_line")
+    return met.where(F.col("_b") == F.floor(F.greatest("start_line", "_s") / span)).drop("_s", "_e", "_b")
+
+
+def percentile(rows: DataFrame, value: str, share: float, by: list[str]) -> DataFrame:
+    """The nearest-rank percentile of each group: the least value that a share of all reach."""
+    return rows.groupBy(*by).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias("value"), F.count("*").alias("n"))
+
+
+def timings(rows: DataFrame, by: list[str], seconds: str = "seconds") -> DataFrame:
+    """n, mean, least and most of each group's times."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(seconds), 6).alias("mean"), F.min(seconds).alias("least"), F.max(seconds).alias("most"))
 
 
-def token_budget(rows: DataFrame, budget: int, order: list[str], tokens: str = "tokens", by: str = "query_id") -> DataFrame:
-    """The longest prefix of each group, in order, whose tokens fit the budget."""
-    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(tokens).over(before)).where(F.col("used") <= budget)
+def token_budget(rows: DataFrame, budget: int, order: str, tokens: str = "tokens", by: str = "query_id", buckets: int = 1024) -> DataFrame:
+    """The longest prefix of each group, in the order of a whole number, whose tokens fit the budget.
+
+    Groups are dealt by equal steps of the order, so that no task holds a whole group: the steps'
+    sums tell where each begins, and steps that begin beyond the budget are dropped before rows
+    are sorted.
+    """
+    ends = rows.groupBy(by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    step = F.floor((F.col(order) - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo") + 1)).cast("int")
+    dealt = rows.join(ends, by).withColumn("_b", step).drop("_lo", "_hi")
+    sums = dealt.groupBy(by, "_b").agg(F.sum(tokens).alias("_t"))
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows a group
+    begins = sums.withColumn("_from", F.coalesce(F.sum("_t").over(before), F.lit(0))).where(F.col("_from") <= budget).drop("_t")
+    within = Window.partitionBy(by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(begins, [by, "_b"]).withColumn("used", F.col("_from") + F.sum(tokens).over(within)).where(F.col("used") <= budget).drop("_b", "_from")
 
 
 def thread_stats(entries: DataFrame) -> DataFrame:

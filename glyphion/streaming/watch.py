@@ -22,3 +22,15 @@ def watch(spark: SparkSession, path: str, schema, gap: str = "1 second", late: s
 def reindex(stream: DataFrame, update: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hands each batch of changes to `update`, once a batch."""
     return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(update).start()
+
+
+def apply_changes(held: dict[str, DataFrame], changed: DataFrame, read: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """All tables of an index (project, file, ...) after a batch of changes (project, file, kind).
+
+    Rows of every file of the batch go from all tables; files whose last change isn't a deletion
+    are read again, by `read`, which gives the new rows of each table.
+    """
+    files = changed.select("project", "file").distinct()
+    fresh = read(changed.where("kind <> 'deleted'").select("project", "file").distinct())
+    kept = {name: rows.join(files, ["project", "file"], "left_anti") for name, rows in held.items()}
+    return {name: rows.unionByName(fresh[name]) if name in fresh else rows for name, rows in kept.items()}
