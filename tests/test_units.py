@@ -26,21 +26,47 @@ def test_redaction_keeps_lines(spark):
 
 
 def test_rules(spark):
-    files = spark.createDataFrame([("a.py", "x = 1\ncursor.execute('SELECT * FROM t WHERE a=' + a)\neval(x)\n"), ("b", None)], "file string, text string")
-    found = {(r.file, r.line, r.rule) for r in rules.scan(files).collect()}
-    assert ("a.py", 3, "shell") in found and ("a.py", 2, "sql-concat") in found
-
-
-def test_chunks_cover_all_lines():
-    text = "\n".join(f"line {i}" if i % 37 else "def f():" for i in range(400))
-    got = C.chunk_lines(text)
-    assert got[0][1] == 1 and got[-1][2] == 400 and all(b[1] <= a[2] + 1 for a, b in zip(got, got[1:]))
-    assert C.chunk_lines("a\nb") == [(0, 1, 2)] and C.chunk_lines(None) == [(0, 1, 1)]
-
-
-def test_python_imports(spark):
-    files = spark.createDataFrame([("m.py", "import os\nfrom a.b import c, d as e\nx = 1")], "file string, text string")
-    assert [(r.line, r.specifier, r.names) for r in C.python_imports(files).orderBy("line").collect()] == [(1, "os", None), (2, "a.b", ["c", "d"])]
+    key = "token = 'gh" + "p_" + "a1" * 12 + "'"
+    rows = [("a.py", "x = 1\ncursor.execute('SELECT * FROM t WHERE a=' + a)\neval(x)\n"), ("b", None), ("app/.env", "password = 'longenough'"), ("k.ts", key), ("w.js", "a" * 16_001 + " eval("), ("s.ts", "db.get('SELECT 1', [x])")]
+    files = spark.createDataFrame(rows, "file string, text string")
+    found = {(r.file, r.line, r.rule): r for r in rules.scan(files).collect()}
+    assert {("a.py", 3, "shell"), ("a.py", 2, "sql-concat"), ("k.ts", 1, "credential")} == set(found)
+    assert found["k.ts", 1, "credential"].excerpt == 'token = [REDACTED]' or "a1a1" not in found["k.ts", 1, "credential"].excerpt
+    assert found["a.py", 3, "shell"].excerpt.startswith("x = 1") and found["a.py", 3, "shell"].status == "needs_review"
+    got = rules.coverage(files).first()
+    assert (got.indexed_files, got.scanned_files, got.skipped_files, got.long_lines, got.truncated) == (6, 4, 2, 1, True)
+    assert rules.scan(files, categories=["injection"]).count() == 1 and rules.scan(files, file_pattern="*.ts").count() == 1
+    best, status = rules.audit(files, "shell eval", 2)
+    assert [r.rule for r in best.collect()] == ["shell", "sql-concat"] and status == "disabled"
+    checks = {r.category: r for r in rules.plan(rules.scan(files)).collect()}
+    assert checks["command_execution"].executed is False and len(checks["injection"].validation) == 2
+
+
+def test_chunks_cover_all_lines(spark):
+    lines = [f"line {i}" if i % 37 else "def f():" for i in range(400)]
+    got = C.chunk_lines(lines)
+    assert got[0][0] == 1 and got[-1][1] == 400 and all(b[0] <= a[1] + 1 for a, b in zip(got, got[1:]))
+    assert C.chunk_lines(["a", "b"]) == [(1, 2)] and C.ranges_of("x", None) == [(1, 1)]
+    files = spark.createDataFrame([("a.txt", "\n".join(lines)), ("b", None)], "file string, text string")
+    rows = C.chunks(files).orderBy("file", "chunk_index").collect()
+    assert [(r.start_line, r.end_line) for r in rows if r.file == "a.txt"] == got
+    assert all(r.content == "\n".join(lines[r.start_line - 1 : r.end_line]) for r in rows if r.file == "a.txt") and rows[-1].content == ""
+
+
+def test_breaks_before_a_declaration():
+    lines = ["let a = 1"] * 55 + ["function late() {"] + ["  x()"] * 40 + ["}"]
+    assert C.chunk_lines(lines)[1][0] == 56 - 5
+
+
+def test_script_chunks_follow_declarations():
+    body = "".join(f"  const v{i} = {i}\n" for i in range(40))
+    text = f"function first() {{\n{body}}}\n// about second\nfunction second() {{\n{body}}}"
+    lines, ranges = text.split("\n"), C.ranges_of("a.ts", text)
+    assert ranges == [(1, 42), (43, 85)] and "\n".join(x for a, b in ranges for x in lines[a - 1 : b][:]) == text
+    long = "function only() {\n" + "  go()\n" * 180 + "}"
+    cut = C.ranges_of("a.js", long)
+    assert all(b - a < 60 for a, b in cut) and cut[0][0] == 1 and cut[-1][1] == 182 and all(x[1] + 1 == y[0] for x, y in zip(cut, cut[1:]))
+    assert C.ranges_of("a.js", long + "}") == C.chunk_lines((long + "}").split("\n"))
 
 
 def test_scan_files(spark, tmp_path):
