@@ -8,15 +8,15 @@ and the hashes are the same on every executor.
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from glyphion.storage import Scratch, delete, durable, shared_dir  # noqa: F401  for the operators
+
 _RNG = np.random.default_rng(20240229)
 BYTE_VALUES = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -36,26 +36,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = spark.sparkContext.getCheckpointDir()
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="glyphion-")
-        spark.sparkContext.setCheckpointDir(there)
-    return there.rstrip("/")
+def spread_join(rows: DataFrame, side: DataFrame, key: str, by: Column, counts: DataFrame, total: int) -> DataFrame:
+    """rows joined to side, which has one row a key; keys with very many rows meet it in several tasks.
+
+    counts: key and n, its rows. by: what tells the rows of one key apart. Keys with more than
+    1,000 rows and a 50,000th of all are split, so at most 50,000 of them are broadcast.
+    """
+    most = max(1000, total // 50_000)
+    hot = F.broadcast(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("_parts")))
+    left = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "_parts").cast("int"), F.lit(0))).drop("_parts")
+    right = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as a Parquet table in the shared folder and reads it back.
+def wanted_only(rows: DataFrame, keys: DataFrame, key: str, most_bits: int = 1 << 28) -> DataFrame:
+    """Those of rows whose hash `key` (a long) may be among keys; a few others pass too.
 
-    The table outlives lost executors. Column pruning works on it, and it is compressed.
+    A bitmap of 16 bits a key goes out as rows of 4 KB, 32 MB of them at most, so that rows are
+    dropped where they are read; with more keys more other rows pass.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bits = min(most_bits, max(1 << 15, 1 << (16 * keys.count()).bit_length()))
+    at = F.pmod(F.col(key), F.lit(bits))
+    maps = keys.select(F.shiftright(at, 15).alias("_block"), at.bitwiseAND(32767).alias("_at"))
+    maps = maps.groupBy("_block").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    out = rows.withColumns({"_block": F.shiftright(at, 15), "_at": at.bitwiseAND(32767).cast("int")}).join(F.broadcast(maps), "_block")
+    return out.where(F.expr("getbit(cast(conv(hex(substring(_bits, shiftright(_at, 3) + 1, 1)), 16, 10) as int), _at & 7) = 1")).drop("_block", "_at", "_bits")
 
 
 def carry(docs: DataFrame, *needed: str) -> DataFrame:
