@@ -70,8 +70,7 @@ def normalize_query(q: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits; an empty array for null or wordless text."""
-    plain = normalize_query(F.lower(text))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.filter(F.split(normalize_query(F.lower(text)), " "), lambda w: w != "")
 
 
 def or_expression(q: Column) -> Column:

@@ -17,6 +17,7 @@ from glyphion.functions.languages import graph_language
 from glyphion.functions.text import normalize_path
 from glyphion.operators.graph import resolve_imports
 from glyphion.parsing.units import candidates, parse
+from glyphion.storage import durable
 
 KINDS = ["CALLS", "REFERENCES", "IMPORTS", "DEFINES"]
 NODE = "id string, file string, name string, kind string, start_line int, end_line int, column int, parent_id string, signature string, exported boolean"
@@ -63,11 +64,11 @@ def _facts(batches):
 def analyse(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes (NODE), edges (EDGE) and warnings (file, warning) of files (file, text) in the languages of the graph.
 
-    Files of other languages and null texts give nothing. The parsed facts are read several times;
-    persist or store `files` where that is dear.
+    Files of other languages and null texts give nothing. What was parsed is stored, since it is
+    read several times.
     """
     rows = files.where("text is not null").select("file", "text", graph_language(F.col("file")).alias("language")).where("language is not null")
-    facts = rows.mapInArrow(_facts, _FACT)
+    facts = durable(rows.mapInArrow(_facts, _FACT))
     nodes = facts.where("what = 'node'")
     imports = facts.where("what = 'import'").select("file", "language", "module", "parent_id", "start_line", "column", "tried", "namespace")
     bound = _imported_files(imports, nodes)

@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from glyphion.functions import text as T
 from glyphion.functions.stem import fold, stems
-from glyphion.storage import Scratch
+from glyphion.storage import Scratch, durable
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -27,26 +27,39 @@ def _query_terms(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
     return each.join(each.groupBy("query_id").agg(F.count("*").cast("int").alias("n_terms")), "query_id")
 
 
+def _beginnings(stem: str) -> list[str]:
+    """What a word with this stem begins with: the stem, or all but its last letter and what a rule put another letter for."""
+    head, last = re.escape(stem[:-1]), stem[-1]
+    other = "y" if last == "i" else "[aioy]" if last == "e" and len(stem) > 2 else "i" if stem.endswith("bl") else ""
+    return [re.escape(stem), *([head + other] if other and head else [])]
+
+
 def bm25(docs: DataFrame, queries: dict[int, str], text: str = "text", key: str = "doc_id", file: str | None = None) -> DataFrame:
     """query_id, key, score, matched, n_terms for documents with any of a query's terms.
 
     Terms are Porter stems of words without accents, of the file path (where there is one) and the
     text together. Statistics cover all documents, whatever is filtered later. One pass over the
     documents gives all counts: each sends its length under an empty term, beside the occurrences
-    of words that could have a query's stem; only these are stemmed, and only its stems shuffled.
+    of the queries' stems.
     """
     wanted = _query_terms(docs.sparkSession, queries)
     asked = wanted.collect()  # the request: a few words a query
-    # A word and its stem are alike but for the stem's last letter.
-    begins = sorted({r.stem[: max(1, len(r.stem) - 1)] for r in asked})
-    if not begins:
+    wanted_stems = sorted({r.stem for r in asked})
+    if not wanted_stems:
         return docs.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0).alias("n_terms"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).where("false")
-    fits = "^(?:" + "|".join(map(re.escape, begins)) + ")"
+    # Most occurrences are of words that are their own stems; only the other words that could have a stem asked for are stemmed.
+    one = docs.sparkSession.range(1).select(F.lit(wanted_stems).alias("w")).select("w", stems(F.col("w")).alias("s")).first()
+    own = [w for w, s in zip(one.w, one.s) if w == s]
+    begins = "^(?:" + "|".join(b for s in wanted_stems for b in _beginnings(s)) + ")"
     whole = F.col(text) if file is None else F.concat_ws(" ", F.col(file), F.col(text))
-    held = docs.select(key, T.tokens(fold(whole)).alias("_t")).select(key, F.size("_t").cast("long").alias("_len"), F.filter("_t", lambda t: t.rlike(fits)).alias("_own"))
-    asked_for = F.filter(stems(F.col("_own")), lambda w: w.isin(sorted({r.stem for r in asked})))
+    other = lambda t: ~t.isin(own) & (F.length(t) > 2) & t.rlike(begins)
+    # Bound to a variable, so that texts are cut into words once.
+    bound = F.transform(F.array(T.tokens(fold(whole))), lambda t: F.struct(F.size(t).cast("long").alias("n"), F.filter(t, lambda w: w.isin(own)).alias("own"), F.filter(t, other).alias("other")))
+    held = docs.select(key, F.element_at(bound, 1).alias("_x")).select(key, F.col("_x.n").alias("_len"), F.col("_x.own").alias("_own"), F.col("_x.other").alias("_other"))
+    asked_for = F.concat("_own", F.filter(stems(F.col("_other")), lambda w: w.isin(wanted_stems)))
     each = held.select(key, "_len", F.explode(F.concat(F.array(F.lit("")), asked_for)).alias("stem"))
-    tf = each.groupBy(key, "stem").agg(F.count("*").alias("_tf"), F.first("_len").alias("_len"))
+    # Stored: statistics and scores read these few counts, not the documents again.
+    tf = durable(each.groupBy(key, "stem").agg(F.count("*").alias("_tf"), F.first("_len").alias("_len")))
     df = F.broadcast(tf.groupBy("stem").agg(F.count("*").alias("_df"), F.sum("_len").alias("_sum")))
     stats = F.broadcast(df.where("stem = ''").select(F.col("_df").alias("_docs"), (F.col("_sum") / F.col("_df")).alias("_mean")))
     idf = F.greatest(F.log((F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(LEAST_IDF))
