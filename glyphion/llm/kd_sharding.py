@@ -1,145 +1,210 @@
 """K-d tree partitioning of rows into shards of near-equal bytes, with DataFrame functions only.
 
-A node that holds k shards splits its rows at the weighted (by bytes) quantile floor(k/2)/k along
-its widest dimension, until each leaf is one shard. The quantile of every node of a level is found
-by the same few aggregations: a histogram of 4,096 bins over the key's next twelve bits, then a finer
-one inside the bin that holds the quantile. The driver gets at most 4,096 sums a node; no rows
-are sorted to find a cut and no group meets in one task.
+Points are groups of equal texts, so copies stay in one shard. A node that holds k shards splits
+its points at the weighted (by bytes) quantile floor(k/2)/k along its widest dimension, until each
+leaf is one shard. Light points are cut where a few distributed histograms find the quantile: one of
+4,096 bins over the key's next twelve bits, then a finer one inside the bin that holds it. Heavy
+points, of more than a hundredth of a shard, are at most a hundred a shard, so the driver knows them and
+deals them itself: in the order of the dimension up to the same quantile, then the next ones that
+still fit; the light points' quantile makes up for what is left. No rows are sorted to find a cut
+and no group meets in one task.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import durable, table
+from glyphion.llm.common import Scratch, spread_join, table
 
 TIE_BITS = 31
 KEY_BITS = 62
 STEP_BITS = 12
 
 
+@dataclass
+class Heavy:
+    group: int
+    keys: list[int]
+    weight: int
+
+
 @dataclass
 class Node:
-    """Children of node i are 2i and 2i+1. below: bytes left of the cell (prefix, shift) that holds the cut."""
+    """below: light bytes left of the cell (prefix, shift) that holds the cut; aim: light bytes that go left."""
 
-    at: int
     leaves: int
     shard: int
-    weight: int = 0
+    heavy: list[Heavy]
+    light: int = 0
+    ends: list[tuple[int, int]] = field(default_factory=list)
     dim: int = 0
+    aim: float = 0
     cut: int = 0
     prefix: int = 0
     shift: int = KEY_BITS
     below: int = 0
     open: bool = False
+    sides: tuple[list[Heavy], list[Heavy]] = ((), ())
 
 
-def _relation(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
-    """A few rows (at most two a shard) as a literal relation, fit for a broadcast."""
-    values = ", ".join("(" + ", ".join(f"{int(v)}L" for v in r) + ")" for r in rows)
-    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({names})"))
+def _of(values: list, node: Column) -> Column:
+    """The value of a row's node, from a literal array with an entry a node.
 
+    element_at isn't taken for a cheap expression, so levels aren't written into each other.
+    """
+    return F.try_element_at(F.lit([int(v) for v in values]).cast("array<long>"), (node + 1).cast("int"))
 
-def _descend(placed: DataFrame, level: list[Node]) -> DataFrame:
-    cuts = _relation(placed.sparkSession, "_node, _dim, _cut", [(n.at, n.dim, n.cut) for n in level])
-    step = F.when(F.col("_cut").isNull(), F.col("_node")).otherwise(2 * F.col("_node") + (F.get("_keys", F.col("_dim").cast("int")) >= F.col("_cut")).cast("long"))
-    return placed.join(cuts, "_node", "left").withColumn("_node", step).drop("_dim", "_cut")
 
+def _deal(points: list[Heavy], dim: int, share: float) -> tuple[list[Heavy], list[Heavy]]:
+    """Heavy points split near a share of their bytes: in the order of a dimension, then whichever still fit."""
+    aim, left, right = share * sum(p.weight for p in points), [], []
+    for p in sorted(points, key=lambda p: (p.keys[dim], p.group)):
+        if p.weight <= aim:
+            left.append(p)
+            aim -= p.weight
+        else:
+            right.append(p)
+    if right and (least := min(right, key=lambda p: p.weight)).weight < 2 * aim:  # it overshoots by less than what is missing
+        left.append(least)
+        right.remove(least)
+    return left, right
 
-def kd_tree(rows: DataFrame, dims: list[str], weight: str, tie: str, shards: int, tolerance: float) -> DataFrame:
-    """rows with `shard`. dims and tie: columns of whole numbers from 0 to 2**31-1, equal ties staying together."""
-    spark = rows.sparkSession
+
+def kd_tree(light: DataFrame, heavy: list[Heavy], dims: list[str], weight: str, tie: str, shards: int, tolerance: float) -> tuple[DataFrame, dict[int, int]]:
+    """light with `shard`, and the shard of each heavy point. dims and tie: whole numbers from 0 to 2**31-1, equal ties staying together."""
     keys = [F.shiftleft(F.col(d).cast("long"), TIE_BITS) + F.col(tie).cast("long") for d in dims]
-    placed = rows.withColumns({"_keys": F.array(*keys), "_node": F.lit(1).cast("long")})
-    level, leaves, spans, slack = [Node(1, shards, 0)], [], None, 1
-    while level:
-        inner = [n for n in level if n.leaves > 1]
-        leaves += [n for n in level if n.leaves == 1]
-        if not inner:
-            break
-        by = {n.at: n for n in inner}
-        ends = [f(F.col(d).cast("long")).alias(f"{name}{i}") for i, d in enumerate(dims) for name, f in (("lo", F.min), ("hi", F.max))]
-        for r in placed.groupBy("_node").agg(F.sum(weight).alias("_w"), *ends).collect():
-            if n := by.get(r["_node"]):
-                span = [r[f"hi{i}"] - r[f"lo{i}"] for i in range(len(dims))]
-                if spans is None:
-                    spans, slack = [max(1, x) for x in span], max(1, int(tolerance * int(r["_w"]) / shards))
-                n.weight, n.open, n.dim = int(r["_w"]), True, max(range(len(dims)), key=lambda i: (span[i] / spans[i], -i))
-                low, high = r[f"lo{n.dim}"] << TIE_BITS, (r[f"hi{n.dim}"] + 1 << TIE_BITS) - 1
-                n.shift = (low ^ high).bit_length()  # the bits above are the same in all of the node's keys
-                n.prefix = low >> n.shift
-        while todo := [n for n in inner if n.open]:
-            cells = _relation(spark, "_node, _dim, _shift, _prefix", [(n.at, n.dim, n.shift, n.prefix) for n in todo])
-            key = F.get("_keys", F.col("_dim").cast("int"))
-            inside = placed.join(cells, "_node").select("_node", weight, "_shift", "_prefix", key.alias("_key"))
-            inside = inside.where(F.expr("shiftright(_key, cast(_shift as int))") == F.col("_prefix"))
-            bin_ = F.expr(f"shiftright(_key, cast(greatest(_shift - {STEP_BITS}, 0L) as int))").alias("_bin")
+    placed = light.withColumns({"_keys": F.array(*keys), "_node": F.lit(0).cast("int")})
+    level, spans, slack = [Node(shards, 0, heavy)], None, 1
+    while any(n.leaves > 1 for n in level):
+        _measure(placed, level, dims, weight)
+        if spans is None:
+            spans = [max(1, hi - lo) for lo, hi in level[0].ends]
+            slack = max(1, int(tolerance * (level[0].light + sum(p.weight for p in heavy)) / shards))
+        for n in level:
+            if n.leaves > 1:
+                _aim(n, spans)
+        while any(n.open for n in level):
+            shift, prefix = _of([n.shift for n in level], F.col("_node")).cast("int"), _of([n.prefix if n.open else -1 for n in level], F.col("_node"))
+            key = F.try_element_at("_keys", (_of([n.dim for n in level], F.col("_node")) + 1).cast("int"))
+            inside = placed.select("_node", weight, key.alias("_key"), shift.alias("_shift"), prefix.alias("_prefix"))
+            # Not a filter, which would be pushed below and written out level within level: keys elsewhere share a null bin.
+            bin_ = F.expr(f"CASE WHEN shiftright(_key, _shift) = _prefix THEN shiftright(_key, greatest(_shift - {STEP_BITS}, 0)) END").alias("_bin")
             bins: dict[int, list] = {}
             for r in inside.groupBy("_node", bin_).agg(F.sum(weight).alias("w"), F.min("_key").alias("lo"), F.max("_key").alias("hi")).collect():
-                bins.setdefault(r["_node"], []).append((r["_bin"], int(r["w"]), r["lo"] == r["hi"]))
-            for n in todo:
-                _narrow(n, sorted(bins[n.at]), slack)
-        placed = _descend(placed, inner)
-        level = [c for n in inner for c in (Node(2 * n.at, n.leaves // 2, n.shard), Node(2 * n.at + 1, n.leaves - n.leaves // 2, n.shard + n.leaves // 2))]
-    shard = _relation(spark, "_node, shard", [(n.at, n.shard) for n in leaves])
-    return placed.join(shard, "_node").withColumn("shard", F.col("shard").cast("int")).drop("_node", "_keys")
+                if r["_bin"] is not None:
+                    bins.setdefault(r["_node"], []).append((r["_bin"], int(r["w"]), r["lo"] == r["hi"]))
+            for i, n in enumerate(level):
+                if n.open:
+                    _narrow(n, sorted(bins.get(i, [])), slack)
+        first, below = [], []
+        for n in level:
+            first.append(len(below))
+            if n.leaves == 1:
+                below.append(Node(1, n.shard, n.heavy))
+            else:
+                k = n.leaves // 2
+                below += [Node(k, n.shard, n.sides[0]), Node(n.leaves - k, n.shard + k, n.sides[1])]
+        node = F.col("_node")
+        right = (F.try_element_at("_keys", (_of([n.dim for n in level], node) + 1).cast("int")) >= _of([n.cut if n.leaves > 1 else 2**63 - 1 for n in level], node)).cast("int")
+        placed, level = placed.withColumn("_node", _of(first, node).cast("int") + right), below
+    out = placed.withColumn("shard", _of([n.shard for n in level], F.col("_node")).cast("int")).drop("_node", "_keys")
+    return out, {p.group: n.shard for n in level for p in n.heavy}
+
+
+def _measure(placed: DataFrame, level: list[Node], dims: list[str], weight: str) -> None:
+    """Light bytes and the ends of all dimensions of each node."""
+    ends = [f(F.col(d).cast("long")).alias(f"{name}{i}") for i, d in enumerate(dims) for name, f in (("lo", F.min), ("hi", F.max))]
+    found = {r["_node"]: r for r in placed.groupBy("_node").agg(F.sum(weight).alias("_w"), *ends).collect()}
+    for k, n in enumerate(level):
+        r = found.get(k)
+        n.light = int(r["_w"]) if r else 0
+        n.ends = []
+        for i in range(len(dims)):
+            seen = [p.keys[i] >> TIE_BITS for p in n.heavy] + ([r[f"lo{i}"], r[f"hi{i}"]] if r else [])
+            n.ends.append((min(seen, default=0), max(seen, default=0)))
+
+
+def _aim(n: Node, spans: list[int]) -> None:
+    share = (n.leaves // 2) / n.leaves
+    n.dim = max(range(len(n.ends)), key=lambda i: ((n.ends[i][1] - n.ends[i][0]) / spans[i], -i))
+    n.sides = _deal(n.heavy, n.dim, share)
+    whole = n.light + sum(p.weight for p in n.heavy)
+    n.aim = min(max(whole * share - sum(p.weight for p in n.sides[0]), 0), n.light)
+    n.open, n.below = n.light > 0, 0
+    low, high = n.ends[n.dim][0] << TIE_BITS, (n.ends[n.dim][1] + 1 << TIE_BITS) - 1
+    n.shift = (low ^ high).bit_length()  # the bits above are the same in all of the node's keys
+    n.prefix = low >> n.shift
+    n.cut = 0
 
 
 def _narrow(n: Node, bins: list[tuple[int, int, bool]], slack: int) -> None:
     """Finds the bin in which the node's quantile lies: cuts there if it is light or one point, else looks into it."""
-    aim, shift = n.weight * (n.leaves // 2) / n.leaves, max(0, n.shift - STEP_BITS)
+    shift = max(0, n.shift - STEP_BITS)
     for at, w, single in bins:
-        if n.below + w < aim and at != bins[-1][0]:
+        if n.below + w < n.aim and at != bins[-1][0]:
             n.below += w
             continue
         if w <= slack or single or shift == 0:
-            n.cut, n.open = (at + 1 if n.below + w - aim < aim - n.below else at) << shift, False
+            n.cut, n.open = (at + 1 if n.below + w - n.aim < n.aim - n.below else at) << shift, False
         else:
             n.prefix, n.shift = at, shift
         return
+    n.open = False
 
 
-def kd_shards(docs: DataFrame, shards: int = 40, tolerance: float = 0.002, heavy: float = 0.02, rows_a_bucket: int = 5000) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int = 40, tolerance: float = 0.002, heavy: float = 0.01, rows_a_bucket: int = 5000) -> DataFrame:
     """Puts documents (doc_id, text, lang, source) into `shards` shards of near-equal bytes.
 
     A point of the tree is a group of equal texts, with the group's size, least lang and least
-    source as dimensions, so copies stay in one shard; a group of more than `heavy` of a shard's
-    bytes is split by row, since it may be larger than a shard. The size of a row is the UTF-8
-    bytes of its text and 16 more. Null texts count as empty ones, null lang and source as ''.
-    Repeated rows and null ids are rows like others. An empty table gives an empty result.
-    Columns: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard).
+    source as dimensions, so copies stay in one shard; only a group of more bytes than a whole
+    shard should have is split, by row. The size of a row is the UTF-8 bytes of its text and 16
+    more. Null texts count as empty ones, null lang and source as ''. Repeated rows and null ids
+    are rows like others. An empty table gives an empty result.
+    Columns: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard, by doc_id within buckets of rows).
     """
+    scratch = Scratch()
     text = F.coalesce(F.col("text"), F.lit(""))
     code = lambda c: F.shiftright(F.crc32(F.coalesce(c, F.lit("")).cast("binary")), 1)
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_group"),
         F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source"),
-        F.monotonically_increasing_id().alias("_row"),
     )
-    same = ["_group", "text_crc32", "size"]
-    groups = rows.groupBy(same).agg(F.sum("size").alias("_bytes"), F.min("_lang").alias("_l"), F.min("_source").alias("_s"))
-    total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
-    most = heavy * (total["b"] or 0) / shards
+    rows = scratch.durable(rows.withColumn("_row", F.monotonically_increasing_id()))
     hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(2**31)).cast("long")
-    base = rows.join(groups, same).select(
-        "doc_id", "size", "text_crc32", "_row", F.least("size", F.lit(2**31 - 1)).alias("_d_size"),
-        code(F.col("_l")).alias("_d_lang"), code(F.col("_s")).alias("_d_source"),
-        F.when(F.col("_bytes") > most, hashed(F.col("_row"))).otherwise(hashed(F.col("_group"))).alias("_tie"),
-    )
-    base = durable(base)
-    tree = kd_tree(base, ["_d_size", "_d_lang", "_d_source"], "size", "_tie", shards, tolerance)
+    groups = rows.groupBy("_group").agg(F.count("*").alias("n"), F.sum("size").alias("_bytes"), F.max("size").alias("_size"), F.min("_lang").alias("_l"), F.min("_source").alias("_s"))
+    groups = scratch.durable(groups.select("_group", "n", "_bytes", F.least("_size", F.lit(2**31 - 1)).alias("_d_size"), code(F.col("_l")).alias("_d_lang"), code(F.col("_s")).alias("_d_source")))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_bytes"), F.lit(0)).alias("b")).first()
+    dims, share = ["_d_size", "_d_lang", "_d_source"], total["b"] / shards
+    whole = (F.col("_bytes") > heavy * share) & (F.col("_bytes") <= share)
+    known = groups.where(whole).select("_group", hashed(F.col("_group")).alias("t"), "_bytes", *dims).collect()  # at most shards / heavy of them
+    points = [Heavy(r["_group"], [(r[d] << TIE_BITS) + r["t"] for d in dims], int(r["_bytes"])) for r in known]
+    held = spread_join(rows.drop("_lang", "_source"), groups.drop("n"), "_group", F.col("_row"), groups.select("_group", "n"), total["n"])
+    held = scratch.durable(held)
+    light = held.where(~whole).withColumn("_tie", F.when(F.col("_bytes") > share, hashed(F.col("_row"))).otherwise(hashed(F.col("_group"))))
+    tree, at = kd_tree(light, points, dims, "size", "_tie", shards, tolerance)
+    cols = ["doc_id", "size", "text_crc32", "_row", "shard"]
+    placed = tree.select(cols)
+    if at:
+        of = F.broadcast(_relation(docs.sparkSession, "_group, shard", list(at.items())))  # as few as the heavy points
+        placed = placed.unionByName(held.where(whole).join(of, "_group").withColumn("shard", F.col("shard").cast("int")).select(cols))
     buckets = max(1, math.ceil(total["n"] / (shards * rows_a_bucket)))
-    placed = tree.select("doc_id", "size", "text_crc32", "_row", "shard", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int").alias("_bucket"))
+    placed = scratch.durable(placed.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int")))
     counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "_row")
     numbered = placed.withColumn("_at", F.row_number().over(within) - 1)
-    return numbered.join(offsets, ["shard", "_bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("_offset") + F.col("_at")).alias("slot"))
+    return scratch.finish(numbered.join(offsets, ["shard", "_bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("_offset") + F.col("_at")).alias("slot")))
+
+
+def _relation(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
+    """A few rows of whole numbers as a literal relation."""
+    values = ", ".join("(" + ", ".join(f"CAST('{int(v)}' AS BIGINT)" for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
