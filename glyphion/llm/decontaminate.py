@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import Words, carry, extended, gram_hash, pieces, restore, slices, table
+from glyphion.llm.common import Scratch, Words, carry, extended, gram_hash, pieces, restore, slices, table
 
 FILTER_BITS = 22
 
@@ -152,7 +152,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
     benchmark hits nothing. Rows are judged one by one, so repeated rows get equal results.
     """
     out = work = carry(docs, "text")
-    names = work.columns
+    names, scratch, stored = work.columns, Scratch(), []
     for k, (block, last) in enumerate(test_blocks(benchmark, window, block_bytes)):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -165,6 +165,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *fresh], names=[*names, *ADDED])
 
         out = out.mapInArrow(search, extended(work.schema, ADDED_SQL))
+        if not last:  # one block of the benchmark at a time is out
+            out = scratch.durable(out)
+            scratch.drop(*stored)
+            stored = [out]
+            held.destroy()
     return restore(out, docs, *list(ADDED)[:-1])
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import table
+from glyphion.llm.common import Scratch, table
 
 NONE = np.iinfo(np.int64).min
 
@@ -88,13 +88,16 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(offsets), np.asarray(column.values)[offsets[0] : offsets[-1]]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, queries_a_pass: int = 50_000) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, queries_a_pass: int = 10_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of vectors (vec_id, v) for each of queries (vec_id, v).
 
     v: whole numbers. Candidates of a query: rows of its own length with another vec_id. Rows
     without an id take no part; repeated rows are candidates each. Queries travel to the tasks in
-    passes of about queries_a_pass rows, whatever their number.
+    passes of about queries_a_pass rows, whatever their number; with several passes each one's
+    result is stored, and what was broadcast for it freed, before the next. Empty vectors score 0.
+    An empty table gives an empty result.
     """
+    scratch = Scratch()
     vectors, queries = vectors.where("vec_id is not null"), queries.where("vec_id is not null")
     passes = max(1, -(-queries.count() // queries_a_pass))
     parts = []
@@ -122,10 +125,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096,
                 cols = [query_ids[at], best[n].id[at, rank], best[n].score[at, rank]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
-        parts.append(vectors.select("vec_id", "v").mapInArrow(search, "query_id long, vec_id long, score long"))
+        part = _best(vectors.select("vec_id", "v").mapInArrow(search, "query_id long, vec_id long, score long"), k)
+        if passes == 1:
+            return part
+        parts.append(scratch.durable(part))
+        held.destroy()
     found = parts[0]
     for x in parts[1:]:
         found = found.unionAll(x)
+    return scratch.finish(found)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
