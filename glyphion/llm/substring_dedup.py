@@ -2,11 +2,14 @@
 
 Only stretches that may repeat are looked at. The least hash of the 8-word grams in a window is the
 window's anchor, and equal windows have equal anchors; a window can repeat only if its anchor does.
-Repeats inside one task are settled there, so a passage that a third of all documents hold leaves
-each task once. The stretches around anchors that occur again are dealt by anchor to reference
-shards of bounded size. For each a suffix automaton is built, whose states know their earliest
-occurrence in the corpus, and the shard's stretches are streamed through it: where the matching
-statistic reaches the window length, the earliest occurrence tells whether the window goes.
+Stretches that share an anchor form the reference: a suffix automaton is built of them, whose states
+know their earliest occurrence, and the stretches are streamed through it. Where the matching
+statistic reaches the window length, the earliest occurrence tells whether the window goes. Every
+window that goes is judged so, in up to three rounds, each of which sends on only what is left:
+among a few hundred documents inside a task, so that a passage that a third of all documents hold
+leaves each task once; then, for anchors that are still in very many stretches, among some two
+thousand stretches each; then among all stretches of an anchor, which are dealt by anchor to
+reference shards of bounded size.
 
 A shard's automaton isn't sent to all documents, since the reference is the corpus itself and
 grows with it; the stretches come to the automaton instead.
@@ -18,23 +21,32 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import Words, durable, gram_hash, pieces, slices, table
+from glyphion.llm.common import Scratch, Words, gram_hash, pieces, slices, spread_join, table
 
 WINDOW, GRAM = 20, 8
 SPAN = WINDOW - GRAM + 1  # grams in a window
 PLACE = np.uint64(2**26 - 1)
 NO_ID = 2**63 - 1
 REFERENCE_WORDS = 50_000
+CROWD = 2000  # stretches of an anchor that are judged together before the last round
 
 
-def anchors(words: np.ndarray) -> np.ndarray:
-    """Of each window of the word hashes, in order, the index of its anchor gram: the least hash, leftmost of equal ones."""
+def anchors(words: np.ndarray, step: int = int(PLACE)) -> np.ndarray:
+    """Of each window of the word hashes, in order, the index of its anchor gram: the least hash, leftmost of equal ones.
+
+    Long texts go by overlapping steps, since a place has as many bits as the key can spare.
+    """
     grams = gram_hash(words, GRAM)
-    if len(grams) < SPAN:
-        return np.empty(0, dtype=np.int64)
+    parts = [np.empty(0, dtype=np.int64)]
+    for a in range(0, len(grams) - SPAN + 1, step - SPAN + 1):
+        parts.append(_anchors(grams[a : a + step]) + a)
+    return np.concatenate(parts)
+
+
+def _anchors(grams: np.ndarray) -> np.ndarray:
     key = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
     width, low = 1, key
     while width * 2 <= SPAN:
@@ -65,31 +77,25 @@ def settle(texts: list[str | None], ids: np.ndarray) -> list[tuple[int, np.ndarr
     w = Words(texts, "space")
     n = len(w.hash) - WINDOW + 1
     doc = np.repeat(np.arange(len(texts)), w.count)
-    place = np.arange(len(doc)) - w.first[doc]
-    gone = np.empty(0, np.int64)
-    at = head = gone
+    at = head = np.empty(0, np.int64)
+    gone = np.zeros(max(n, 0), dtype=bool)
     if n > 0:
         start = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :])
         anchor = anchors(w.hash)[start]
-        grams = gram_hash(w.hash, GRAM)
+        grams = gram_hash(w.hash, GRAM).view(np.int64)
         at = np.unique(anchor)
         value, which, times = np.unique(grams[at], return_inverse=True, return_counts=True)
-        again = np.zeros(len(grams), dtype=bool)
-        again[at[times[which] > 1]] = True
-        maybe = start[again[anchor]]
-        if len(maybe):
-            whole = gram_hash(w.hash, WINDOW)[maybe]
-            by = np.lexsort((place[maybe], ids[doc[maybe]], whole))
-            s, h = maybe[by], whole[by]
-            first = np.concatenate([[True], h[1:] != h[:-1]])
-            lead = s[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            later = (ids[doc[s]] != ids[doc[lead]]) | (place[s] != place[lead])
-            gone = s[later]
-            left = np.ones(n, dtype=bool)
-            left[gone] = False
-            at = np.unique(anchor[left[start]])
-        head = grams[at].view(np.int64)
-    covered = spread(gone, len(doc)) if len(doc) else np.empty(0, bool)
+        met = at[times[which] > 1]
+        if len(met):
+            low, high = start[np.searchsorted(anchor, met, "left")], start[np.searchsorted(anchor, met, "right") - 1] + 1
+            data, order = w.data.tobytes(), np.argsort(grams[met], kind="stable")
+            i = doc[low]
+            keys = zip(*(x[order].tolist() for x in (grams[met], ids[i], i, low - w.first[i], w.start[low], w.end[high + WINDOW - 2])))
+            for k, a, b in judged((h, d, r, s, data[x:y]) for h, d, r, s, x, y in keys):
+                gone[w.first[k] + a : w.first[k] + b - WINDOW + 1] = True
+            at = np.unique(anchor[~gone[start]])
+        head = grams[at]
+    covered = spread(np.flatnonzero(gone), len(doc)) if len(doc) else np.empty(0, bool)
     cut = np.searchsorted(at, w.first)
     out = []
     for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:])):
@@ -115,27 +121,37 @@ def _seen(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["_row", "doc_id", "packed", "n", "gone", "head", "at"])
 
 
-STRETCH = np.dtype([("head", "<i8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("bytes", "<i4")])
+STRETCH = np.dtype([("head", "<i8"), ("part", "<i4"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("bytes", "<i4")])
 
 
 def _stretches(shards: int):
-    """For each hit, the words of all windows whose anchor it is; packed by shard, so that they compress."""
+    """For each hit, the words of all windows left whose anchor it is; packed by shard, so that they compress.
+
+    hits: the anchor's word and the part of its crowd (0 but for crowded anchors before the last
+    round). cut: words covered by windows that are gone; those windows are left out.
+    """
 
     def run(batches):
         pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for batch in pieces(batches):
             parts: dict[int, tuple[list, list]] = {}
             rows, ids = batch.column("_row").to_pylist(), batch.column("doc_id").fill_null(NO_ID).to_pylist()
-            for row, doc, packed, hits in zip(rows, ids, batch.column("packed"), batch.column("hits").to_pylist()):
+            for row, doc, packed, hits, cut in zip(rows, ids, batch.column("packed"), batch.column("hits").to_pylist(), batch.column("cut").to_pylist()):
                 w = Words([unpack.decompress(packed.as_py()).decode("utf-8", "surrogatepass")], "space")
                 anchor, grams = anchors(w.hash), gram_hash(w.hash, GRAM).view(np.int64)
-                hits = np.sort(np.array(hits, dtype=np.int64))
-                a, b = np.searchsorted(anchor, hits, "left"), np.searchsorted(anchor, hits, "right")
-                low, high, data = w.start[a].tolist(), w.end[b + WINDOW - 2].tolist(), w.data.tobytes()
-                for head, s, x, y in zip(grams[hits].tolist(), a.tolist(), low, high):
-                    keys, words = parts.setdefault(head % shards, ([], []))
-                    keys.append((head, doc, row, s, y - x))
-                    words.append(data[x:y])
+                left = np.ones(len(anchor), dtype=bool)
+                for c in cut or ():
+                    left[c["a"] : c["b"] - WINDOW + 1] = False
+                data = w.data.tobytes()
+                for hit in sorted(hits, key=lambda h: h["at"]):
+                    a, b = np.searchsorted(anchor, hit["at"], "left"), np.searchsorted(anchor, hit["at"], "right")
+                    head = int(grams[hit["at"]])
+                    keys, words = parts.setdefault((head ^ (hit["part"] * 0x9E3779B97F4A7C15)) % shards, ([], []))
+                    for x, y in runs(left[a:b]).reshape(-1, 2).tolist():
+                        low, high = int(w.start[a + x]), int(w.end[a + y + WINDOW - 2])
+                        keys.append((head, hit["part"], doc, row, int(a) + x, high - low))
+                        words.append(data[low:high])
+            parts = {k: v for k, v in parts.items() if v[0]}
             cols = [list(parts), [pack.compress(np.array(k, dtype=STRETCH).tobytes()) for k, _ in parts.values()], [pack.compress(b"".join(t)) for _, t in parts.values()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "keys", "words"])
 
@@ -236,21 +252,29 @@ def judge(stretches: list[tuple[int, int, int, bytes]]):
                 yield row, since, start + len(ends)
 
 
+def judged(stretches):
+    """What judge finds among stretches (head, doc, row, start, words), which come by head; several heads share an automaton up to REFERENCE_WORDS."""
+    group, size, last = [], 0, None
+    for head, *stretch in stretches:
+        if size >= REFERENCE_WORDS and head != last:
+            yield from judge(group)
+            group, size = [], 0
+        group.append(stretch)
+        size += len(stretch[3]) // 6
+        last = head
+    if group:
+        yield from judge(group)
+
+
 def _judge_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     unpack = zstandard.ZstdDecompressor()
     keys = np.concatenate([np.frombuffer(unpack.decompress(k), dtype=STRETCH) for k in pdf["keys"]])
     words = b"".join(unpack.decompress(k) for k in pdf["words"])
     end = np.cumsum(keys["bytes"], dtype=np.int64)
-    order = np.argsort(keys["head"], kind="stable")
-    heads, docs, rows, starts = (keys[c][order].tolist() for c in ("head", "doc", "row", "start"))
+    order = np.lexsort((keys["part"], keys["head"]))
+    cols = [keys[c][order].tolist() for c in ("head", "part", "doc", "row", "start")]
     spans = zip((end - keys["bytes"])[order].tolist(), end[order].tolist())
-    found, group, size = [], [], 0
-    for j, (x, y) in enumerate(spans):
-        group.append((docs[j], rows[j], starts[j], words[x:y]))
-        size += (y - x) // 6
-        if j + 1 == len(order) or (size >= REFERENCE_WORDS and heads[j + 1] != heads[j]):
-            found += judge(group)
-            group, size = [], 0
+    found = list(judged(((h, p), d, r, s, words[x:y]) for h, p, d, r, s, (x, y) in zip(*cols, spans)))
     return pd.DataFrame(np.array(found, dtype=np.int64).reshape(-1, 3), columns=["_row", "a", "b"])
 
 
@@ -274,7 +298,7 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["_row", "doc_id", "n_words", "n_removed", "kept"])
 
 
-def dedup_substrings(docs: DataFrame, hits_a_shard: int = 60_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, hits_a_shard: int = 60_000, crowd: int = CROWD) -> DataFrame:
     """_row, doc_id, n_words, n_removed and kept (the words left, joined by one space) of each document.
 
     Words are what ASCII white space leaves, unchanged. Each word covered by a window of 20 words
@@ -283,19 +307,35 @@ def dedup_substrings(docs: DataFrame, hits_a_shard: int = 60_000) -> DataFrame:
     one document; rows that share an id are one document too, in which equal starts don't count
     as earlier.
     """
+    scratch = Scratch()
     rows = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_row", F.monotonically_increasing_id())
-    seen = durable(rows.mapInArrow(_seen, "_row long, doc_id long, packed binary, n long, gone array<int>, head array<long>, at array<int>"))
+    seen = scratch.durable(rows.mapInArrow(_seen, "_row long, doc_id long, packed binary, n long, gone array<int>, head array<long>, at array<int>"))
     each = seen.select("_row", F.explode(F.arrays_zip("head", "at")).alias("x")).select("_row", "x.head", "x.at")
-    again = each.withColumn("_n", F.count("*").over(Window.partitionBy("head"))).where("_n > 1")
-    hits = durable(again.groupBy("_row").agg(F.collect_list("at").alias("hits")))
-    shards = max(1, -(-(hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]) // hits_a_shard))
-    dealt = hits.join(seen.select("_row", "doc_id", "packed"), "_row").mapInArrow(_stretches(shards), "shard int, keys binary, words binary")
-    gone = dealt.groupBy("shard").applyInPandas(_judge_shard, "_row long, a long, b long")
-    gone = gone.groupBy("_row").agg(F.collect_list(F.struct("a", "b")).alias("cut"))
+    counts = scratch.durable(each.groupBy("head").agg(F.count("*").alias("n")).where("n > 1"))
+    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
+    again = spread_join(each, counts, "head", F.col("_row"), counts, total)
+    part = F.when(F.col("n") > crowd, 1 + F.pmod(F.xxhash64("_row"), F.ceil(F.col("n") / crowd))).otherwise(0).cast("int")
+    hits = scratch.durable(again.groupBy("_row").agg(F.collect_list(F.struct("at", part.alias("part"))).alias("hits")))
+    texts = seen.select("_row", "doc_id", "packed")
+    found = [_judged(hits.select("_row", F.filter("hits", lambda h: h["part"] > 0).alias("hits")).where("size(hits) > 0"), texts, None, total, hits_a_shard, scratch)] if (most or 0) > crowd else []
+    last = hits.select("_row", F.transform("hits", lambda h: F.struct(h["at"].alias("at"), F.lit(0).alias("part"))).alias("hits"))
+    found.append(_judged(last, texts, found[0] if found else None, total, hits_a_shard, scratch))
+    gone = found[0] if len(found) == 1 else found[0].unionByName(found[1]).groupBy("_row").agg(F.flatten(F.collect_list("cut")).alias("cut"))
+    scratch.drop(counts, hits)  # the texts stay for the result, which is made of them when it is read
     kept = seen.select("_row", "doc_id", "packed", "n", "gone").join(gone, "_row", "left")
     return kept.mapInArrow(_kept, "_row long, doc_id long, n_words long, n_removed long, kept string")
 
 
+def _judged(hits: DataFrame, texts: DataFrame, gone: DataFrame | None, total: int, hits_a_shard: int, scratch: Scratch) -> DataFrame:
+    """_row, cut: words covered by windows that begin earlier among the stretches of their anchor and part."""
+    shards = max(1, -(-total // hits_a_shard))
+    own = hits.join(texts, "_row")
+    own = own.withColumn("cut", F.lit(None).cast("array<struct<a:bigint,b:bigint>>")) if gone is None else own.join(gone, "_row", "left")
+    dealt = own.select("_row", "doc_id", "packed", "hits", "cut").mapInArrow(_stretches(shards), "shard int, keys binary, words binary")
+    found = dealt.groupBy("shard").applyInPandas(_judge_shard, "_row long, a long, b long")
+    return scratch.durable(found.groupBy("_row").agg(F.collect_list(F.struct("a", "b")).alias("cut")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without passages that occur earlier."""
     out = dedup_substrings(table(spark, sf_dir, "documents"))
