@@ -1,14 +1,16 @@
 """Personal data: fixed patterns, and terms that corpus co-occurrence shows to reveal them.
 
-One pass over the texts counts all words, and those beside base spans, combined in the task before
-they are shuffled. A term's disclosure is the share of its occurrences, in the whole corpus, that
-stand beside a protected entity, and the information (in bits) that the term gives about an
-entity being there. A second pass marks the base spans and all occurrences of the terms above the
-thresholds, wherever they stand; both are generalised.
+One pass over the texts counts, for every word of the corpus, the documents that hold it and those
+of them that also hold a protected entity, and with how many different entities it was met. A
+term's disclosure is the chance that a document with it holds an entity, and the information (in
+bits) that the term gives about that. Copies of one document bring one entity, so the words they
+share don't pass for evidence. A second pass marks the base spans and all occurrences of the terms
+above the thresholds, wherever they stand; both are generalised.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -69,72 +71,67 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], ORDER[s[0]]))
 
 
-def beside(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, int, int]]:
-    """Terms (lower-cased, with start and end) among the `reach` words before and after each span, outside all spans."""
-    found: dict[int, tuple[str, int, int]] = {}
-    for _, a, b in spans:
-        width = 24 * reach
-        while True:  # wide enough for the words asked for, or the text's beginning
-            low = max(0, a - width)
-            before = list(WORD.finditer(text, low, a))
-            if low == 0 or len(before) > reach:
-                break
-            width *= 4
-        after = []
-        for m in WORD.finditer(text, b):
-            after.append(m)
-            if len(after) == reach:
-                break
-        for m in (*before[-reach:], *after):
-            found[m.start()] = (m[0].lower(), m.start(), m.end())
-    out, k, reached = [], 0, 0
-    for start in sorted(found):
-        term, a, b = found[start]
-        while k < len(spans) and spans[k][1] < b:
-            reached, k = max(reached, spans[k][2]), k + 1
-        if reached <= a:
-            out.append((term, a, b))
-    return out
+def words_outside(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    """The different words (lower-cased) outside all spans, which come by start."""
+    out, at = set(), 0
+    for _, a, b in (*spans, ("", len(text), len(text))):
+        if at < a:
+            out.update(WORD.findall(text, at, a))
+        at = max(at, b)
+    return {w.lower() for w in out}
+
+
+def entity_mark(text: str, spans: list[tuple[str, int, int]]) -> int:
+    """One hash for a document's entities: the least, so that copies and most near copies have the same."""
+    return min(int.from_bytes(hashlib.blake2b(f"{k}:{text[a:b]}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for k, a, b in spans)
 
 
 SPANS = "array<struct<kind:string,a:long,b:long>>"
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _scan(reach: int, held_terms: int):
+def _scan(held_terms: int):
     def scan(batches):
-        words: Counter = Counter()
-        near: Counter = Counter()
+        held: Counter = Counter()  # documents a word
+        met: Counter = Counter()  # documents with an entity a word and the entity's mark
 
         def counted():
-            total: Counter = Counter()
-            for w, n in words.items():
-                total[w.lower()] += n
-            terms = list(total | near)
-            cols = [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (total, near))]
-            words.clear(), near.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["term", "n", "n_near"])
+            terms, marks = [*held, *(t for t, _ in met)], [*([None] * len(held)), *(m for _, m in met)]
+            n, with_ = [*held.values(), *([0] * len(met))], [*([0] * len(held)), *met.values()]
+            held.clear(), met.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((terms, pa.string()), (marks, pa.int64()), (n, pa.int64()), (with_, pa.int64()))], names=["term", "mark", "n", "m"])
 
         for batch in pieces(batches):
             for text in batch.column("text").to_pylist():
-                s = base_spans(text)
-                near.update(k for k, _, _ in (beside(text, s, reach) if s else ()))
-                if text:
-                    words.update(WORD.findall(text))
-                if len(words) > held_terms:
+                if not text:
+                    continue
+                spans = base_spans(text)
+                words = words_outside(text, spans) | {""}
+                held.update(words)
+                if spans:
+                    mark = entity_mark(text, spans)
+                    met.update((w, mark) for w in words)
+                if len(held) + len(met) > held_terms:
                     yield counted()
         yield counted()
 
     return scan
 
 
-def disclosing_terms(docs: DataFrame, reach: int, least: int, share: float, bits: float, held_terms: int) -> DataFrame:
+def disclosure(docs: DataFrame, held_terms: int = 400_000) -> DataFrame:
+    """Of each word of the corpus: n documents that hold it outside entities, m of them with an entity, v different entity marks among these."""
+    scanned = docs.select("text").mapInArrow(_scan(held_terms), "term string, mark long, n long, m long")
+    each = scanned.groupBy("term", "mark").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return each.groupBy("term").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("mark").alias("v"))
+
+
+def disclosing_terms(docs: DataFrame, least: int, share: float, bits: float, held_terms: int) -> DataFrame:
     """The terms above the thresholds of find_pii."""
-    scanned = docs.select("text").mapInArrow(_scan(reach, held_terms), "term string, n long, n_near long")
-    counts = durable(scanned.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_near").alias("n_near")))
-    sums = counts.agg(F.sum("n").alias("n"), F.sum("n_near").alias("m")).first()
-    rate = (sums["m"] or 0) / max(1, sums["n"] or 0)
-    return counts.where(F.col("n_near") >= least).where(F.col("n_near") >= share * F.col("n")).where(F.log2(F.col("n_near") / F.col("n") / F.lit(rate or 1.0)) >= bits).select("term")
+    counts = durable(disclosure(docs, held_terms).where(F.col("v") >= F.when(F.col("term") == "", 0).otherwise(least)))
+    every = counts.where("term = ''").first()  # all documents with a text count under an empty word
+    rate = every["m"] / every["n"] if every and every["m"] else 1.0
+    chance = F.col("m") / F.col("n")
+    return counts.where("term <> ''").where(chance >= share).where(F.log2(chance / F.lit(rate)) >= bits).select("term")
 
 
 def occurrences(text: str, spans: list[tuple[str, int, int]], terms: frozenset[str]) -> list[tuple[str, int, int]]:
@@ -173,24 +170,26 @@ def marked(rows: DataFrame, terms: DataFrame, keep: list[str], block_bytes: int)
         last = k + 1 == blocks
         names = [*keep, "spans"] if last else out.columns
         out = out.mapInArrow(_mark(held, names), out.select(*names).schema)
-        out = out if last else durable(out)
+        if not last:
+            out = durable(out)
+            held.destroy()
     return out
 
 
-def find_pii(docs: DataFrame, reach: int = 4, least: int = 8, share: float = 0.5, bits: float = 3.0, held_terms: int = 400_000, block_bytes: int = 4 << 20) -> DataFrame:
+def find_pii(docs: DataFrame, least: int = 8, share: float = 0.5, bits: float = 3.0, held_terms: int = 400_000, block_bytes: int = 4 << 20) -> DataFrame:
     """_row, doc_id, spans (kind, a, b: base entities and terms) of each document; spans by start and kind, in code points.
 
-    Terms: letters only, lower-cased. A term discloses if at least `least` of its occurrences, a
-    `share` of all of them, stand within `reach` words of an entity, and if the information
-    log2(P(beside | term) / P(beside)) is `bits` or more. All its occurrences outside entities, in
-    all documents, become spans of kind term. Null texts are empty; rows are judged one by one,
-    repeated ids included.
+    Terms: runs of letters, lower-cased, outside entities. A term discloses if a `share` of the
+    documents that hold it hold an entity too, with at least `least` different ones, and if the
+    information log2(P(entity | term) / P(entity)) is `bits` or more. All its occurrences outside
+    entities, in all documents, become spans of kind term. Null texts are empty; rows are judged
+    one by one, repeated ids included. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("_row", F.monotonically_increasing_id())
-    return marked(rows, disclosing_terms(docs, reach, least, share, bits, held_terms), ["_row", "doc_id"], block_bytes)
+    return marked(rows, disclosing_terms(docs, least, share, bits, held_terms), ["_row", "doc_id"], block_bytes)
 
 
-def sanitised(docs: DataFrame, reach: int = 4, least: int = 8, share: float = 0.5, bits: float = 3.0, held_terms: int = 400_000, block_bytes: int = 4 << 20) -> DataFrame:
+def sanitised(docs: DataFrame, least: int = 8, share: float = 0.5, bits: float = 3.0, held_terms: int = 400_000, block_bytes: int = 4 << 20) -> DataFrame:
     """docs with each span of find_pii replaced by its kind in text; all columns stay."""
 
     def run(batches):
@@ -199,7 +198,7 @@ def sanitised(docs: DataFrame, reach: int = 4, least: int = 8, share: float = 0.
             said = [redact(t, [(s["kind"], s["a"], s["b"]) for s in spans]) for t, spans in texts]
             yield pa.RecordBatch.from_arrays([batch.column("_all"), pa.array(said, pa.string())], names=["_all", "text"])
 
-    terms = disclosing_terms(docs, reach, least, share, bits, held_terms)
+    terms = disclosing_terms(docs, least, share, bits, held_terms)
     work = marked(carry(docs, "text"), terms, ["_all", "text"], block_bytes)
     return restore(work.mapInArrow(run, work.select("_all", "text").schema), docs, "text")
 

@@ -87,11 +87,63 @@ def test_decontamination(spark, docs, empty, block):
 
 def test_pii(docs, empty):
     text = dict(TEXTS)[7]
-    got = {r.doc_id: [(s.kind, text[s.a : s.b]) for s in r.spans] for r in P.find_pii(docs).collect() if r.doc_id == 7}
+    rows = P.find_pii(docs).collect()
+    got = {r.doc_id: [(s.kind, text[s.a : s.b]) for s in r.spans] for r in rows if r.doc_id == 7}
     assert got[7] == [("email", "me@ex.org"), ("phone", "+49 (30) 1234567"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111")]
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in TEXTS) and all(not r.spans for r in rows if r.doc_id != 7)
     assert P.redact("ab cd", [("x", 0, 2)]) == "[X] cd" and P.redact(None, []) is None and P.find_pii(empty).count() == 0
 
 
+PLAIN = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def plain_spans(text):
+    """The contract's patterns as they stand."""
+    fit = {
+        "email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m.split(".")), "phone": lambda m: 9 <= sum(c.isdigit() for c in m) <= 15,
+        "card": lambda m: 12 <= len(d := [int(c) for c in m if c in "0123456789"]) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0,
+    }
+    return sorted(((k, m.start(), m.end()) for k, p in PLAIN.items() for m in p.finditer(text or "") if fit[k](m[0])), key=lambda s: (s[1], list(PLAIN).index(s[0])))
+
+
+def test_pii_query_against_brute_force(spark):
+    """All columns on supplied texts: the patterns as they stand, terms counted with sets."""
+    import hashlib
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    base = {i: plain_spans(t) for i, t in texts.items()}
+
+    def outside(i):
+        t, out, at = texts[i], [], 0
+        for _, a, b in (*base[i], ("", len(texts[i]), 0)):
+            out += [(m[0].lower(), m.start(), m.end()) for m in re.compile(r"[^\W\d_]+").finditer(t, at, a)] if a > at else []
+            at = max(at, b)
+        return out
+
+    words = {i: outside(i) for i in texts}
+    n, m, marks = Counter(), Counter(), defaultdict(set)
+    for i, found in words.items():
+        for w in {w for w, _, _ in found}:
+            n[w] += 1
+            if base[i]:
+                m[w] += 1
+                marks[w].add(P.entity_mark(texts[i], base[i]))
+    said = [i for i in texts if texts[i]]
+    rate = sum(bool(base[i]) for i in said) / len(said)
+    terms = {w for w in m if len(marks[w]) >= 8 and m[w] / n[w] >= 0.5 and np.log2(m[w] / n[w] / rate) >= 3}
+    assert "token" in terms
+    order = [*PLAIN, "term"]
+    for r in P.op4_pii_disclosure(spark, sf).collect():
+        mine = sorted(base[r.doc_id] + [("term", a, b) for w, a, b in words[r.doc_id] if w in terms], key=lambda s: (s[1], order.index(s[0]), s[2]))
+        join = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r.spans == join(mine) and r.base_sha256 == hashlib.sha256(join(base[r.doc_id]).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base[r.doc_id]) for k in PLAIN]
+
+
 def test_email_spans_as_the_pattern():
     plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     for t in ("a@b.c@d.e", "@x.y", "a@b", "x a.b+c@d-e.f.g.", "a@@b.c", "a@b.c.d@e.f", "a@.b c@d..e"):
@@ -99,23 +151,24 @@ def test_email_spans_as_the_pattern():
 
 
 def test_disclosing_terms(spark):
-    rows = [(i, f"contact zorbinax at user{i}@ex.org now") for i in range(12)] + [(i, "contact at now plain words here " * 20) for i in range(12, 40)]
-    out = P.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows = [(i, f"contact zorbinax at user{i}@ex.org now") for i in range(12)] + [(i, "contact at now plain words here " * 20) for i in range(12, 200)]
+    rows += [(300 + i, "copied rarely one@ex.org") for i in range(20)]  # copies are no evidence
+    out = P.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), bits=2.0).collect()
     assert all(("term", 8, 16) in [(s.kind, s.a, s.b) for s in r.spans] for r in out if r.doc_id < 12)
     assert not any(s.kind == "term" for r in out if r.doc_id >= 12 for s in r.spans)
 
 
 @pytest.mark.parametrize("block", [4 << 20, 1])
 def test_terms_away_from_entities(spark, docs, empty, block):
-    rows = [(i, f"contact zorbinax Quelvane at user{i}@ex.org now") for i in range(12)] + [(i, "contact at now plain words here " * 20) for i in range(12, 40)]
-    rows += [(50, "Ask Zorbinax, or QUELVANE zorbinaxes."), (51, "zorbinax@ex.org zorbinax" + " far" * 9 + " zorbinax"), (52, None), (52, "")]
+    rows = [(i, f"contact zorbinax Quelvane at user{i}@ex.org now") for i in range(12)] + [(i, "contact at now plain words here " * 20) for i in range(12, 200)]
+    rows += [(250, "Ask Zorbinax, or QUELVANE zorbinaxes."), (251, "zorbinax@ex.org zorbinax" + " far" * 9 + " zorbinax"), (252, None), (252, "")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     out = P.find_pii(table, block_bytes=block).collect()
     got = {r.doc_id: [(s.kind, s.a, s.b) for s in r.spans] for r in out}
-    assert len(out) == len(rows) and got[50] == [("term", 4, 12), ("term", 17, 25)] and got[52] == [] == got[12]
-    assert got[51] == [("email", 0, 15), ("term", 16, 24), ("term", 61, 69)]
-    said = {r.doc_id: r.text for r in P.sanitised(table, block_bytes=block).collect() if r.doc_id in (3, 12, 50, 51)}
-    assert said == {3: "contact [TERM] [TERM] at [EMAIL] now", 12: dict(rows)[12], 50: "Ask [TERM], or [TERM] zorbinaxes.", 51: "[EMAIL] [TERM]" + " far" * 9 + " [TERM]"}
+    assert len(out) == len(rows) and got[250] == [("term", 4, 12), ("term", 17, 25)] and got[252] == [] == got[12]
+    assert got[251] == [("email", 0, 15), ("term", 16, 24), ("term", 61, 69)]
+    said = {r.doc_id: r.text for r in P.sanitised(table, block_bytes=block).collect() if r.doc_id in (3, 12, 250, 251)}
+    assert said == {3: "contact [TERM] [TERM] at [EMAIL] now", 12: dict(rows)[12], 250: "Ask [TERM], or [TERM] zorbinaxes.", 251: "[EMAIL] [TERM]" + " far" * 9 + " [TERM]"}
     if block > 1:
         clean = P.sanitised(docs)
         assert clean.columns == docs.columns and clean.count() == len(TEXTS) and P.sanitised(empty).count() == 0
@@ -131,9 +184,26 @@ def test_near_duplicates(spark, docs, empty):
     assert J.near_duplicates(docs).count() == len(TEXTS) and J.drop_near_duplicates(docs).columns == docs.columns and J.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_all_links_of_a_crowd(spark, monkeypatch, block):
+def links_of(rows):
+    """Of each text: the different texts that it is linked to, and the least id of its class, by brute force."""
+    sets = {i: frozenset(J.shingle_sets([t])[0].tolist()) for i, t in rows}
+    links, root = defaultdict(set), {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a != b and n and sets[a] != sets[b] and 5 * n >= 4 * len(sets[a] | sets[b]):
+                links[a].add(sets[b])
+    while True:
+        new = {a: min([root[a], *(root[b] for b in sets if sets[a] and (sets[b] in links[a] or sets[b] == sets[a]))]) for a in sets}
+        if new == root:
+            return sets, links, root
+        root = new
+
+
+@pytest.mark.parametrize("block, small", [(2048, 8), (16, 2)])
+def test_classes_of_a_crowd(spark, monkeypatch, block, small):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "SMALL", small)
     rng = np.random.default_rng(11)
     rows = []
     for g in range(3):  # a group whose members lie at, above and below the threshold from each other
@@ -143,52 +213,47 @@ def test_all_links_of_a_crowd(spark, monkeypatch, block):
             for at in rng.integers(0, 150, rng.integers(0, 7)):
                 words[at] = f"e{rng.integers(0, 10**9)}"
             rows.append((g * 100 + m, " ".join(words)))
-    sets = {i: frozenset(J.shingle_sets([t])[0].tolist()) for i, t in rows}
-    links, root = defaultdict(set), {i: i for i in sets}
-    for a in sets:
-        for b in sets:
-            n = len(sets[a] & sets[b])
-            if a != b and sets[a] != sets[b] and 5 * n >= 4 * len(sets[a] | sets[b]):
-                links[a].add(sets[b])
-    for _ in range(len(sets)):
-        for a in sets:
-            root[a] = min([root[a], *(root[b] for b in sets if sets[b] in links[a] or sets[b] == sets[a])])
-        if all(root[a] == root[b] for a in sets for b in sets if sets[b] in links[a]):
-            break
+    sets, links, root = links_of(rows)
     out = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.class_id, r.n_links) for r in out} == {i: (root[i], len(links[i])) for i in sets}
+    assert {r.doc_id: r.class_id for r in out} == root
+    assert all(bool(links[r.doc_id]) == bool(r.n_links) and r.n_links <= len(links[r.doc_id]) for r in out)
+    assert {r.doc_id: r.n_texts for r in out} == {i: len({sets[j] for j in sets if root[j] == root[i]}) for i in sets}
+
 
+@pytest.mark.parametrize("seed", range(3))
+def test_copy_among_texts_that_quote_it(spark, seed):
+    """A pair that meets in buckets of two, while its texts share other buckets with several texts that hold a long run of them."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(260)]
+    rows = [(k, " ".join([f"q{k}x{i}" for i in range(45)] + base[30 * k : 30 * k + 170 - 20 * (k % 2)] + [f"r{k}x{i}" for i in range(45)])) for k in range(5)]
+    rows += [(10, " ".join(base)), (11, " ".join(base[: (at := int(rng.integers(20, 240)))] + ["new"] + base[at + 1 :]))]
+    _, links, root = links_of(rows)
+    assert links[10] and root[11] == 10
+    assert {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {i: (root[i], len(links[i])) for i in root}
 
-def test_pairs_across_classes(spark):
+
+def test_pairs_across_classes(spark, monkeypatch):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base[:k] + [f"n{k}"] + base[k + 1 :]) for k in range(20, 80, 5)]
-    sigs = [(i, J.signature(s).tobytes(), zstandard.compress(t.encode())) for i, (s, t) in enumerate(zip(J.shingle_sets(texts), texts))]
-    nodes = spark.createDataFrame(sigs, "node long, sig binary, packed binary")
-    crowded = spark.createDataFrame([(0, 7, i) for i in range(12)], "band int, bucket long, node long")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sigs = spark.createDataFrame([(i, J.signature(s).tobytes(), len(t)) for i, (s, t) in enumerate(zip(J.shingle_sets(texts), texts))], "node long, sig binary, size long")
+    nodes = docs.select(docs.doc_id.alias("node"), *J.text_key("text")).join(sigs, "node")
+    crowded = spark.createDataFrame([(7, i, 12, 0) for i in range(12)], "bucket long, node long, n long, pivot long")
     roots = spark.createDataFrame([(i, 0) for i in range(6)], "node long, root long")
-    for held, first in ((crowded, 0), (crowded.where("node between 3 and 9"), 3)):
-        links = J.across_classes(held, nodes, roots, 1e-6)
-        got = {(r.node, r.root) for r in J.components(links.union(spark.createDataFrame([(0, i) for i in range(1, 6)], "a long, b long"))).collect()}
-        assert got == {(i, 0) for i in range(12 if first == 0 else 10)}
+    for n in (12, 7):
+        held = crowded if n == 12 else spark.createDataFrame([(b, i, 7, 3) for b in (7, 8) for i in range(3, 10)], crowded.schema)
+        scratch = J.Scratch()
+        links = J.across_classes(docs, held, nodes, roots, None, 1e-6, scratch)
+        got = {(r.node, r.root) for r in J.components(links.union(spark.createDataFrame([(0, i) for i in range(1, 6)], "a long, b long")), scratch).collect()}
+        assert got == {(i, 0) for i in range(12 if n == 12 else 10)}
 
 
-@pytest.mark.parametrize("decoys", [4, 5, 9])
-def test_link_beyond_the_first_pivots(spark, monkeypatch, decoys):
-    rng = np.random.default_rng(3)
-    base = [f"w{i}" for i in range(200)]
-    texts = [" ".join(f"d{k}x{i}" for i in range(50)) for k in range(decoys)] + [" ".join(base), " ".join(base[:90] + ["new"] + base[91:])]
-    sets = J.shingle_sets(texts)
-    sigs = rng.integers(0, 2**32, (len(texts), J.BANDS, J.ROWS), dtype=np.uint32)
-    sigs[-2, : J.BANDS - decoys] = sigs[-1, : J.BANDS - decoys]
-    for k in range(decoys):  # each shares a bucket of two with the last text, which so has the near copy as its last pivot
-        sigs[k, J.BANDS - 1 - k] = sigs[-1, J.BANDS - 1 - k]
-    rows = [(i, i, i, i, sig.tobytes(), zstandard.compress(t.encode())) for i, (sig, t) in enumerate(zip(sigs, texts))]
-    nodes = spark.createDataFrame(rows, "_row long, doc_id long, k1 long, k2 long, sig binary, packed binary")
-    monkeypatch.setattr(J, "_nodes", lambda docs: nodes)
-    linked = lambda a, b: 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))
-    every = range(len(texts))
-    want = {(a, min(b for b in every if linked(a, b)), sum(linked(a, b) for b in every) - 1) for a in every}
-    assert {(r.doc_id, r.class_id, r.n_links) for r in J.near_duplicates(nodes).collect()} == want
+def test_rows_that_share_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, "quite another text of some words", "b"), (2, text + " more", "c"), (3, "x", "d"), (3, "x", "e"), (None, text, "f"), (None, "only here and not elsewhere", "g"), (None, None, "h"), (4, None, "i")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, class string")
+    kept = [r["class"] for r in J.drop_near_duplicates(table).collect()]
+    assert sorted(x for x in kept if x not in "de") == ["a", "b", "g", "h", "i"] and sum(x in "de" for x in kept) == 1
 
 
 def test_top_k(spark):
@@ -204,6 +269,10 @@ def test_top_k(spark):
     for block, a_pass in ((4096, 50_000), (32, 2)):
         got = M.top_k(t, t.where("vec_id % 50 = 0"), block=block, queries_a_pass=a_pass).collect()
         assert sorted(map(tuple, got)) == sorted(want)
+    none = t.where("vec_id < 0")
+    assert M.top_k(none, none).count() == 0 and M.top_k(t, none).count() == 0
+    blank = spark.createDataFrame([(1, []), (2, []), (3, [])], "vec_id long, v array<long>")
+    assert sorted(map(tuple, M.top_k(blank, blank.where("vec_id = 2")).collect())) == [(2, 1, 1, 0), (2, 2, 3, 0)]
 
 
 def test_pieces(spark, docs, empty):
@@ -220,7 +289,8 @@ def test_pieces(spark, docs, empty):
         assert got == pytest.approx(best[-1]) or best[-1] < V.UNCOVERED / 2
 
 
-def test_substring_dedup(docs, empty):
+@pytest.mark.parametrize("crowd", [R.CROWD, 1])
+def test_substring_dedup(docs, empty, crowd):
     words = {k: (t or "").split() for k, (_, t) in enumerate(TEXTS)}
     words = {k: re.findall(r"[^\x20\x09-\x0D]+", TEXTS[k][1] or "") for k in words}
     place = lambda k: L.NO_ID if TEXTS[k][0] is None else TEXTS[k][0]
@@ -236,23 +306,59 @@ def test_substring_dedup(docs, empty):
             if first[tuple(w[s : s + 20])] < (place(k), s):
                 gone |= set(range(s, s + 20))
         want[TEXTS[k][0], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)] += 1
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in R.dedup_substrings(docs, hits_a_shard=50).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in R.dedup_substrings(docs, hits_a_shard=50, crowd=crowd).collect())
     assert got == want and R.dedup_substrings(empty).count() == 0
 
 
+def test_anchors_of_long_texts():
+    words = np.random.default_rng(0).integers(0, 2**63, 3000, dtype=np.uint64)
+    assert (R.anchors(words) == R.anchors(words, step=64)).all() and len(R.anchors(words[:19])) == 0 and len(R.anchors(words[:20])) == 1
+
+
+def test_automaton_judges_every_window():
+    """Matching statistics and earliest places of an automaton against all substrings."""
+    rng = np.random.default_rng(4)
+    said = [(d, d, 0, " ".join(map(str, rng.integers(0, 2, 60))).encode()) for d in range(6)]
+    first = {}
+    for doc, _, _, words in said:
+        w = words.split()
+        for k in range(len(w) - 19):
+            first.setdefault(tuple(w[k : k + 20]), (doc, k))
+    want = {(d, p) for d, _, _, words in said for k in range(41) if first[tuple(words.split()[k : k + 20])] != (d, k) for p in range(k, k + 20)}
+    assert {(row, p) for row, a, b in R.judge(said) for p in range(a, b)} == want
+
+
 @pytest.mark.parametrize("shards", [1, 7])
 def test_kd_shards(spark, docs, empty, shards):
+    import zlib
+
+    raw = lambda t: (t or "").encode()
     got = K.kd_shards(docs, shards).collect()
-    assert len(got) == len(TEXTS) and K.kd_shards(empty, shards).count() == 0
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(raw(t)) + 16, zlib.crc32(raw(t))) for i, t in TEXTS) and K.kd_shards(empty, shards).count() == 0
     at = defaultdict(list)
     for r in got:
         at[r.shard].append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in at.values()) and set(at) <= set(range(shards))
-    many = spark.createDataFrame([(i, f"text {i} " * (i % 17), "en", f"s{i % 5}") for i in range(3000)] + [(5000 + i, "the same text", "en", "s") for i in range(1500)], "doc_id long, text string, lang string, source string")
-    size = Counter()
-    for r in K.kd_shards(many, shards).collect():
+    copies = [(5000 + i, "the same text", "en", "s") for i in range(1500)] + [(9000 + i, f"group {i % 30} " * 9, None, f"s{i}") for i in range(300)]
+    many = [(i, f"text {i} " * (i % 17), "en", f"s{i % 5}") for i in range(3000)] + copies
+    size, where = Counter(), defaultdict(set)
+    texts = {i: t for i, t, _, _ in many}
+    for r in K.kd_shards(spark.createDataFrame(many, "doc_id long, text string, lang string, source string"), shards).collect():
         size[r.shard] += r.size
+        where[texts[r.doc_id]].add(r.shard)
     assert max(size.values()) <= 1.02 * min(size.values())
+    assert all(len(v) == 1 for t, v in where.items() if t != "the same text" or 1500 * 29 <= sum(size.values()) / shards)
+
+
+def test_kd_splits_against_brute_force():
+    """Heavy points: each side of a node holds its share of the bytes to within one point, and no point is lost."""
+    rng = np.random.default_rng(8)
+    for leaves in (2, 3, 5, 40):
+        points = [K.Heavy(g, [int(x) << K.TIE_BITS for x in rng.integers(0, 99, 3)], int(w)) for g, w in enumerate(rng.integers(1, 1000, 60))]
+        left, right = K._deal(points, 1, (leaves // 2) / leaves)
+        total = sum(p.weight for p in points)
+        assert {p.group for p in left} | {p.group for p in right} == set(range(60)) and len(left) + len(right) == 60
+        assert abs(sum(p.weight for p in left) - total * (leaves // 2) / leaves) <= min(p.weight for p in right)
 
 
 def test_token_counts(spark, docs, empty):
