@@ -11,10 +11,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row a key, the last one in order: what remains when rows are written one after the other."""
+def latest(rows: DataFrame, keys: list[str], order: list[str], ties: list[str] | None = None) -> DataFrame:
+    """One row a key, the last one in order: what remains when rows are written one after the other.
+
+    Of rows equal in keys and order, the one that is least by ties; any of them without ties.
+    """
     rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    one = rows.groupBy(*keys, *order).agg(F.min_by(F.struct(*rest), F.struct(*ties)).alias("_r")) if ties else rows.withColumn("_r", F.struct(*rest))
+    best = one.groupBy(*keys).agg(F.max_by("_r", F.struct(*order)).alias("_r"))
     return best.select(*keys, *(F.col("_r").getField(c).alias(c) for c in rest)).select(rows.columns)
 
 

@@ -416,8 +416,9 @@ def q_upsert(spark, sf):
 
 @query("SELECT l_orderkey, arg_max(l_partkey, l_shipdate::VARCHAR || lpad(l_linenumber::VARCHAR, 9, '0')) AS l_partkey FROM lineitem GROUP BY 1")
 def q_insert_latest(spark, sf):
-    rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_linenumber")
-    return tables.latest(rows, ["l_orderkey"], ["l_shipdate", "l_linenumber"]).select("l_orderkey", "l_partkey")
+    # arg_max keeps the first row of equal ones, in the table's order
+    rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_linenumber", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return tables.latest(rows, ["l_orderkey"], ["l_shipdate", "l_linenumber"], ["_file", "_at"]).select("l_orderkey", "l_partkey")
 
 
 @query("SELECT doc_id, doc_id % 3 = 0 AS gone FROM documents")
