@@ -13,6 +13,10 @@ them a pair shares decides whether its posterior chance is enough to go on. In l
 nodes outside the bucket's largest class meet all its nodes, block against block inside a task;
 those with a competitive partner bring their texts to a second such task, which verifies them.
 
+Both rounds leave out pairs within a class that need not be known to unite it. A third step counts
+all links: every class with pairs that aren't verified brings its whole texts, block against block
+inside a task, where all its pairs are compared exactly and each text's links are counted.
+
 Signatures keep the low 16 bits of each MinHash value. Texts are never stored: those of surviving
 pairs are fetched from docs by two 64-bit hashes of the text.
 """
@@ -350,8 +354,52 @@ def across_classes(docs: DataFrame, held: DataFrame, nodes: DataFrame, roots: Da
     return verified(few, texts).union(links).distinct()
 
 
-def joined(docs: DataFrame, tolerance: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of docs with their keys; k1, k2, root, copies, least row of each different text; the links a, b of texts."""
+def _counted(group: pa.Table) -> pa.Table:
+    """A task of two blocks of a class, or of one with itself: how many texts of the other block each text is linked to."""
+    left, node, texts = np.asarray(group.column("left")), np.asarray(group.column("node")), group.column("text")
+    sides = [np.flatnonzero(left), np.flatnonzero(~left)]
+    sets = [[s for a in range(0, len(at), 64) for s in shingle_sets([texts[int(k)].as_py() for k in at[a : a + 64]])] for at in sides]
+    size_x, size_y = (np.array([len(s) for s in z], dtype=np.int64) for z in sets)
+    linked_x, linked_y = (np.zeros(len(z), dtype=np.int64) for z in sets)
+    if len(sides[0]) and len(sides[1]):
+        linked = shared(*sets).astype(np.int64) * 9 >= 4 * (size_x[:, None] + size_y[None, :])
+        linked_x, linked_y = linked.sum(1), linked.sum(0)
+    elif len(sides[0]):
+        value, times = np.unique(np.concatenate(sets[0]), return_counts=True)
+        value = value[times > 1]  # a text's own shingles unite it with no other
+        some = [s[np.isin(s, value, assume_unique=True)] for s in sets[0]]
+        if len(value):
+            linked = shared(some, some).astype(np.int64) * 9 >= 4 * (size_x[:, None] + size_x[None, :])
+            np.fill_diagonal(linked, False)
+            linked_x = linked.sum(1)
+    return pa.table({"node": pa.array(np.concatenate([node[at] for at in sides])), "n": pa.array(np.concatenate([linked_x, linked_y]).astype(np.int64))})
+
+
+def link_counts(docs: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, n_links of the texts (node, root) with links (a, b): all the links of each.
+
+    All links of a text lie in its class. A class whose pairs are all verified is done; the pairs
+    of the others are compared on their whole texts, none left out. A pair of blocks is a task,
+    and what leaves it are counts.
+    """
+    own = scratch.durable(texts.select("node", "root").join(nodes.select("node", "size"), "node"))
+    links = scratch.durable(links)
+    classes = own.groupBy("root").agg(F.count("*").alias("c"), F.sum("size").alias("s")).where("c > 2")
+    known = links.join(own.select(F.col("node").alias("a"), "root"), "a").groupBy("root").agg(F.count("*").alias("k"))
+    parts = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_BYTES), F.lit(1)).cast("int").alias("parts")
+    several = scratch.durable(classes.join(known, "root").where("k < c * (c - 1) / 2").select("root", "c", parts))
+    total = several.agg(F.sum("c")).first()[0] or 0
+    members = scratch.durable(spread_join(own.select("node", "root"), several.select("root", "parts"), "root", F.col("node"), several.select("root", F.col("c").alias("n")), total))
+    dealt = members.withColumn("h", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("node", "root", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), (F.col("h") <= F.col("o")).alias("left"))
+    said = fetched(docs, nodes, members.select("node"), scratch)
+    counted = dealt.join(said, "node").groupBy("root", "i", "j").applyInArrow(_counted, "node long, n long")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).join(members.select("node"), "node", "left_anti").withColumn("n", F.lit(1).cast("long"))
+    return scratch.durable(counted.unionByName(ends).groupBy("node").agg(F.sum("n").alias("n_links")))
+
+
+def joined(docs: DataFrame, tolerance: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows of docs with their keys; k1, k2, root, copies, least row of each different text; the links a, b that unite texts; the texts' nodes."""
     seen = scratch.durable(_signed(docs))
     worded = seen.where("k1 is not null")
     least = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), *TEXT_KEY)
@@ -369,12 +417,12 @@ def joined(docs: DataFrame, tolerance: float, scratch: Scratch) -> tuple[DataFra
     if more.limit(1).count():
         links = links.unionByName(more)
         roots = components(links, scratch)
-    return seen, texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), links
+    return seen, texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), links, nodes
 
 
-def _classes(docs: DataFrame, tolerance: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs with class (the least row's doc_id, t1, t2), n_texts, n_copies, root and node; null without words. And the links."""
-    seen, texts, links = joined(docs, tolerance, scratch)
+def _classes(docs: DataFrame, tolerance: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows of docs with class (the least row's doc_id, t1, t2), n_texts, n_copies, root and node; null without words. And texts, links and nodes."""
+    seen, texts, links, nodes = joined(docs, tolerance, scratch)
     texts = scratch.durable(texts)
     classes = texts.groupBy("root").agg(F.min("least").alias("class"), F.count("*").alias("n_texts"))
     total = seen.count()
@@ -386,23 +434,22 @@ def _classes(docs: DataFrame, tolerance: float, scratch: Scratch) -> tuple[DataF
     counts = keyed(texts).select("_k", F.col("copies").alias("n"))
     out = spread_join(worded, keyed(known).drop("k1", "k2"), "_k", F.col("_row"), counts, total).drop("_k")
     bare = seen.where("k1 is null").select("_row", "doc_id", *TEXT_KEY)
-    return out.unionByName(bare, allowMissingColumns=True), links
+    return out.unionByName(bare, allowMissingColumns=True), texts, links, nodes
 
 
 def near_duplicates(docs: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """doc_id, class_id, n_links, n_texts, n_copies of each row of docs, by five-word shingles and similarity 0.8 or more.
 
     Words: whatever ASCII white space leaves, A-Z lower-cased. class_id: the least doc_id of the
-    class, a connected component of all pairs at the threshold. n_links: the verified links of
-    the row's text to different texts; a group of near copies is linked to its pivots and not
-    pair by pair, since that number grows with the square of the group. n_texts: different texts
+    class, a connected component of all pairs at the threshold. n_links: how many different texts
+    reach the threshold with the row's text, all of its class counted. n_texts: different texts
     of the class; n_copies: other rows with the same shingle set. Null or wordless texts link to
     nothing; their class is their own id. Null ids come last and a class of only such rows has
     a null id. Repeated rows are copies.
     """
     scratch = Scratch()
-    rows, links = _classes(docs, tolerance, scratch)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    rows, texts, links, nodes = _classes(docs, tolerance, scratch)
+    ends = link_counts(docs, nodes, texts, links, scratch)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     id_ = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("class.doc_id"), F.lit(NO_ID)))
     out = rows.join(ends, "node", "left").select("doc_id", id_.alias("class_id"), zero("n_links"), F.coalesce("n_texts", F.lit(1).cast("long")).alias("n_texts"), zero("n_copies"))
@@ -416,7 +463,7 @@ def drop_near_duplicates(docs: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     equal in id and text one stays.
     """
     scratch = Scratch()
-    rows, _ = _classes(docs, tolerance, scratch)
+    rows, *_ = _classes(docs, tolerance, scratch)
     key = ["_id", *TEXT_KEY]
     named = rows.where("class is not null").withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).select(*key, "class")
     gone = scratch.finish(named.withColumn("_first", F.col("class") == F.struct(F.col("_id").alias("doc_id"), *TEXT_KEY)).groupBy(*key).agg(F.any_value("_first").alias("_first"), F.count("*").alias("n")))

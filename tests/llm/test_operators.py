@@ -248,6 +248,25 @@ def test_pairs_across_classes(spark, monkeypatch):
         assert got == {(i, 0) for i in range(12 if n == 12 else 10)}
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_all_links_of_a_crowd(spark, monkeypatch, block):
+    """Near copies, some of them copied: every pair at the threshold counts, not only those with the pivots."""
+    monkeypatch.setattr(J, "BLOCK", block)
+    rng = np.random.default_rng(23)
+    rows = [(900, "alone " + PASSAGE), (901, None), (902, "a b"), (903, "a  B"), (904, " ".join(f"p{i}" for i in range(90))), (905, " ".join(f"p{i}" for i in range(91)))]
+    for g, n in enumerate((3, 5, 70)):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for m in range(n):
+            words = list(base)
+            for at in rng.integers(0, 150, rng.integers(0, 6)):
+                words[at] = f"e{rng.integers(0, 10**9)}"
+            rows += [(g * 200 + m, " ".join(words))] + [(g * 200 + 100 + m, " ".join(words).upper())] * (m % 7 == 0)
+    _, links, root = links_of(rows)
+    assert max(map(len, links.values())) > 2 * J.PIVOTS
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (root[i], len(links[i])) for i in root}
+
+
 def test_rows_that_share_an_id(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text, "a"), (1, "quite another text of some words", "b"), (2, text + " more", "c"), (3, "x", "d"), (3, "x", "e"), (None, text, "f"), (None, "only here and not elsewhere", "g"), (None, None, "h"), (4, None, "i")]
