@@ -49,8 +49,8 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, by: Column, counts:
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def wanted_only(rows: DataFrame, keys: DataFrame, key: str, most_bits: int = 1 << 28) -> DataFrame:
-    """Those of rows whose hash `key` (a long) may be among keys; a few others pass too.
+def wanted_only(rows: DataFrame, keys: DataFrame, key: str, most_bits: int = 1 << 28, others: bool = False) -> DataFrame:
+    """Those of rows whose hash `key` (a long) may be among keys; a few others pass too. others: all rows that don't pass instead.
 
     A bitmap of 16 bits a key goes out as rows of 4 KB, 32 MB of them at most, so that rows are
     dropped where they are read; with more keys more other rows pass.
@@ -59,8 +59,9 @@ def wanted_only(rows: DataFrame, keys: DataFrame, key: str, most_bits: int = 1 <
     at = F.pmod(F.col(key), F.lit(bits))
     maps = keys.select(F.shiftright(at, 15).alias("_block"), at.bitwiseAND(32767).alias("_at"))
     maps = maps.groupBy("_block").agg(F.bitmap_construct_agg("_at").alias("_bits"))
-    out = rows.withColumns({"_block": F.shiftright(at, 15), "_at": at.bitwiseAND(32767).cast("int")}).join(F.broadcast(maps), "_block")
-    return out.where(F.expr("getbit(cast(conv(hex(substring(_bits, shiftright(_at, 3) + 1, 1)), 16, 10) as int), _at & 7) = 1")).drop("_block", "_at", "_bits")
+    out = rows.withColumns({"_block": F.shiftright(at, 15), "_at": at.bitwiseAND(32767).cast("int")}).join(F.broadcast(maps), "_block", "left" if others else "inner")
+    may = F.expr("getbit(cast(conv(hex(substring(_bits, shiftright(_at, 3) + 1, 1)), 16, 10) as int), _at & 7) = 1")
+    return out.where(~F.coalesce(may, F.lit(False)) if others else may).drop("_block", "_at", "_bits")
 
 
 def carry(docs: DataFrame, *needed: str) -> DataFrame:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphion.llm.common import Scratch, Words, gram_hash, pieces, slices, spread_join, table
+from glyphion.llm.common import Scratch, Words, gram_hash, pieces, slices, spread_join, table, wanted_only
 
 WINDOW, GRAM = 20, 8
 SPAN = WINDOW - GRAM + 1  # grams in a window
@@ -284,12 +284,10 @@ def _kept(batches):
         out, removed = [], []
         for packed, gone, cut in zip(batch.column("packed"), batch.column("gone").to_pylist(), batch.column("cut").to_pylist()):
             text = packed.as_py()
-            words = Words([None if text is None else unpack.decompress(text).decode("utf-8", "surrogatepass")], "space", hashes=False)
-            n = len(words.start)
-            mask = np.zeros(n, dtype=bool)
+            kept = [] if text is None else unpack.decompress(text).split()  # bytes are split at ASCII white space, as Words does
+            mask = np.zeros(len(kept), dtype=bool)
             for a, b in [*zip((gone or [])[0::2], (gone or [])[1::2]), *((c["a"], c["b"]) for c in cut or [])]:
                 mask[a:b] = True
-            kept = words.text_of(0, n)
             if mask.any():
                 kept = [x for x, m in zip(kept, mask.tolist()) if not m]
             out.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
@@ -322,14 +320,22 @@ def dedup_substrings(docs: DataFrame, hits_a_shard: int = 60_000, crowd: int = C
     found.append(_judged(last, texts, found[0] if found else None, total, hits_a_shard, scratch))
     gone = found[0] if len(found) == 1 else found[0].unionByName(found[1]).groupBy("_row").agg(F.flatten(F.collect_list("cut")).alias("cut"))
     scratch.drop(counts, hits)  # the texts stay for the result, which is made of them when it is read
-    kept = seen.select("_row", "doc_id", "packed", "n", "gone").join(gone, "_row", "left")
+    met, rest = _parted(seen.select("_row", "doc_id", "packed", "n", "gone"), gone)
+    kept = met.join(gone, "_row", "left").unionByName(rest, allowMissingColumns=True)
     return kept.mapInArrow(_kept, "_row long, doc_id long, n_words long, n_removed long, kept string")
 
 
+def _parted(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose _row may be among keys, and the others, which need no shuffle to meet them."""
+    marked = keys.select(F.xxhash64("_row").alias("_h"))
+    rows = rows.withColumn("_h", F.xxhash64("_row"))
+    return tuple(wanted_only(rows, marked, "_h", others=o).drop("_h") for o in (False, True))
+
+
 def _judged(hits: DataFrame, texts: DataFrame, gone: DataFrame | None, total: int, hits_a_shard: int, scratch: Scratch) -> DataFrame:
     """_row, cut: words covered by windows that begin earlier among the stretches of their anchor and part."""
     shards = max(1, -(-total // hits_a_shard))
-    own = hits.join(texts, "_row")
+    own = hits.join(_parted(texts, hits)[0], "_row")
     own = own.withColumn("cut", F.lit(None).cast("array<struct<a:bigint,b:bigint>>")) if gone is None else own.join(gone, "_row", "left")
     dealt = own.select("_row", "doc_id", "packed", "hits", "cut").mapInArrow(_stretches(shards), "shard int, keys binary, words binary")
     found = dealt.groupBy("shard").applyInPandas(_judge_shard, "_row long, a long, b long")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import zstandard
 import pytest
+from pyspark.sql import functions as F
 
 from glyphion.llm import decontaminate as D
 from glyphion.llm import ecoc_language as E
@@ -329,6 +330,21 @@ def test_substring_dedup(docs, empty, crowd):
     assert got == want and R.dedup_substrings(empty).count() == 0
 
 
+def test_texts_without_repeats_are_not_shuffled(spark, docs):
+    """Rows are parted by whether they may be wanted: none is lost or doubled, all wanted ones are met, and most others aren't."""
+    rows = spark.range(0, 4000, 1, 7).select((F.col("id") % 7 * 2**33 + F.col("id")).alias("_row"), F.col("id").alias("n"))
+    keys = rows.where("n % 20 = 0").select("_row")
+    met, rest = ([r.n for r in x.collect()] for x in R._parted(rows, keys))
+    assert sorted(met + rest) == list(range(4000)) and set(range(0, 4000, 20)) <= set(met) and len(met) < 800
+    met, rest = R._parted(rows, keys.limit(0))
+    assert met.count() == 0 and rest.count() == 4000
+
+
+def test_kept_words_are_bytes_between_ascii_space():
+    text = "a\x0bb\x0c c\u00a0d\u2003e \x1cf\0g\r\n\x85h"
+    assert text.encode().split() == R.Words([text], "space").text_of(0, 6) == [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", text)]
+
+
 def test_anchors_of_long_texts():
     words = np.random.default_rng(0).integers(0, 2**63, 3000, dtype=np.uint64)
     assert (R.anchors(words) == R.anchors(words, step=64)).all() and len(R.anchors(words[:19])) == 0 and len(R.anchors(words[:20])) == 1
