@@ -1,8 +1,10 @@
 """The symbol graph of source files: nodes, edges, look-ups, bounded traversal, context.
 
 Files are parsed one by one in Arrow batches; what reaches beyond a file is resolved by joins of
-requests (module, parent, name) with the files that imports lead to and the nodes in them. A name
-that several nodes could mean stays unresolved.
+requests (module, parent, name) with the files that imports lead to and the nodes in them; a whole
+package answers by the names that it has once, never file by file. A name that several nodes could
+mean stays unresolved. Edges are told apart where they are parsed, so only requests, resolved ones
+and imports are shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ NODE = "id string, file string, name string, kind string, start_line int, end_li
 EDGE = "id string, source_id string, target_id string, kind string, file string, line int, column int, target_name string, resolution string"
 _FACT = (
     "what string, file string, language string, namespace string, id string, name string, kind string, start_line int, end_line int, column int, parent_id string, parent string,"
-    " signature string, exported boolean, target_id string, module string, want_parent string, want_name string, tried array<string>"
+    " signature string, exported boolean, target_id string, module string, want_parent string, want_name string, tried array<string>, again boolean"
 )
 
 
@@ -44,18 +46,27 @@ def _facts(batches):
             at = lambda k: ids[k] if k >= 0 else file_id  # noqa: E731, B023
             common = {"file": file, "language": language, "namespace": u.namespace}
             rows.append({**common, "what": "node", "id": file_id, "name": file, "kind": "file", "start_line": 1, "end_line": (text or "").count("\n") + 1, "column": 1, "signature": "", "exported": False})
+            defined = set()
             for k, n in enumerate(u.nodes):
+                again = (ids[k], at(n.parent)) in defined
+                defined.add((ids[k], at(n.parent)))
                 rows.append({
-                    **common, "what": "node", "id": ids[k], "name": n.name, "kind": n.kind, "start_line": n.start_line, "end_line": n.end_line, "column": n.column,
+                    **common, "what": "node", "again": again, "id": ids[k], "name": n.name, "kind": n.kind, "start_line": n.start_line, "end_line": n.end_line, "column": n.column,
                     "parent_id": at(n.parent), "parent": u.nodes[n.parent].name if n.parent >= 0 else None, "signature": n.signature, "exported": n.exported,
                 })
+            called = {(at(x.owner), x.line, x.column, ids[x.target]) for x in u.uses if x.call and x.target >= 0}
+            used = set()
             for x in u.uses:
+                key = (at(x.owner), x.call, x.line, x.column, x.name)
+                if key in used or not x.call and x.target >= 0 and (at(x.owner), x.line, x.column, ids[x.target]) in called:  # a call is a reference too
+                    continue
+                used.add(key)
                 kind = u.nodes[x.target].kind if x.target >= 0 else None
                 rows.append({
                     **common, "what": "call" if x.call else "reference", "parent_id": at(x.owner), "name": x.name, "start_line": x.line, "column": x.column,
                     "target_id": ids[x.target] if x.target >= 0 else None, "kind": kind, "module": x.module, "want_parent": x.want_parent, "want_name": x.want_name,
                 })
-            for i in u.imports:
+            for i in {(i.module, i.line, i.column): i for i in u.imports}.values():
                 rows.append({**common, "what": "import", "parent_id": file_id, "name": i.module, "module": i.module, "start_line": i.line, "column": i.column, "tried": candidates(i.module, file, language)})
             rows += [{**common, "what": "warning", "name": w} for w in u.warnings]
         yield pa.RecordBatch.from_pydict({c: [r.get(c) for r in rows] for c in schema.names}, schema=schema)
@@ -70,21 +81,27 @@ def analyse(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = files.where("text is not null").select("file", "text", graph_language(F.col("file")).alias("language")).where("language is not null")
     facts = durable(rows.mapInArrow(_facts, _FACT))
     nodes = facts.where("what = 'node'")
-    imports = facts.where("what = 'import'").select("file", "language", "module", "parent_id", "start_line", "column", "tried", "namespace")
-    bound = _imported_files(imports, nodes)
-    found = facts.where("what in ('call', 'reference')").withColumn("_use", F.sha2(F.concat_ws("|", "file", "parent_id", "what", "start_line", "column", "name"), 256))
-    asked = found.where("target_id is null and want_name is not null").select("_use", "file", "language", "namespace", "module", "want_parent", F.col("want_name").alias("_name"))
-    met = _answers(asked, bound, nodes)
-    uses = found.join(met, "_use", "left")
-    kind, target = F.coalesce("_kind", "kind"), F.coalesce("_target", "target_id")
-    callable_ = kind.isin("function", "method", "class")
-    uses = uses.select("_use", "what", "file", "parent_id", "name", "start_line", "column", F.when((F.col("what") == "reference") | callable_, target).alias("_t"))
-    uses = uses.dropDuplicates(["_use"]).where("what = 'call' or _t is not null")
-    calls = uses.where("what = 'call'").select(*_edge("CALLS", F.col("_t"), F.col("name")))
-    refers = uses.where("_t is not null").select(*_edge("REFERENCES", F.col("_t"), F.col("name")))
-    defines = nodes.where("kind <> 'file'").select(*_edge("DEFINES", F.col("id"), F.col("name")))
-    brings = imports.join(bound, ["file", "module"], "left").select(*_edge("IMPORTS", F.col("_to_id"), F.col("module")))
-    edges = calls.unionByName(refers).unionByName(defines).unionByName(brings).dropDuplicates(["id"])
+    imports = facts.where("what = 'import'")
+    packages = _packages(imports)
+    bound = _imported_files(imports, nodes, packages)
+    found = facts.where("what in ('call', 'reference')").select("what", "file", "language", "namespace", "parent_id", "name", "start_line", "column", "kind", "target_id", "module", "want_parent", "want_name")
+    own, asking = found.where("target_id is not null or want_name is null"), found.where("target_id is null and want_name is not null")
+    asking = asking.withColumn("_use", F.sha2(F.concat_ws("|", "file", "parent_id", "what", "start_line", "column", "name"), 256))
+    asked = asking.select("_use", "file", "language", "namespace", "module", "want_parent", F.col("want_name").alias("_name"))
+    answered = asking.drop("kind", "target_id").join(_answers(asked, bound, packages, nodes), "_use", "left").withColumnsRenamed({"_kind": "kind", "_target": "target_id"})
+    cols = ["what", "file", "parent_id", "name", "start_line", "column", F.when((F.col("what") == "reference") | F.col("kind").isin("function", "method", "class"), F.col("target_id")).alias("_t")]
+    own, answered = own.select(cols), answered.select(cols)
+    calls = lambda uses: uses.where("what = 'call'").select(*_edge("CALLS", F.col("_t"), F.col("name")))
+    refers = lambda uses: uses.where("_t is not null").select(*_edge("REFERENCES", F.col("_t"), F.col("name")))
+    defines = nodes.where("kind <> 'file' and not again").select(*_edge("DEFINES", F.col("id"), F.col("name")))
+    brought = imports.select("file", "module", "start_line", "column").join(bound, ["file", "module"], "left").withColumn("parent_id", F.sha2(F.concat_ws("|", F.lit("file"), "file"), 256))
+    brings = brought.select(*_edge("IMPORTS", F.col("_to_id"), F.col("module")))
+    # Within a file, edges are told apart as they are parsed; what joins answer may lead twice to one target.
+    joined = calls(answered).unionByName(refers(answered)).unionByName(brings)
+    edges = calls(own).unionByName(refers(own)).unionByName(defines).unionByName(joined.where("target_id is null"))
+    edges = edges.unionByName(joined.where("target_id is not null").dropDuplicates(["id"]))
+    if not nodes.where("kind = 'file'").groupBy("file").count().where("count > 1").isEmpty():
+        edges = edges.dropDuplicates(["id"])  # a path comes with several rows
     return nodes.select(*(c.split()[0] for c in NODE.split(", "))), edges, facts.where("what = 'warning'").select("file", F.col("name").alias("warning"))
 
 
@@ -96,22 +113,27 @@ def _edge(kind: str, target: Column, name: Column) -> list[Column]:
     ]
 
 
-def _imported_files(imports: DataFrame, nodes: DataFrame) -> DataFrame:
+def _packages(imports: DataFrame) -> DataFrame:
+    """file, module, _dir: the folder of the Go package that an import leads to."""
+    go = imports.where("language = 'go'").where(F.col("module").startswith(".")).select("file", "module").distinct()
+    return go.select("file", "module", F.coalesce(F.nullif(normalize_path(F.concat(_dir("file"), F.lit("/"), "module")), F.lit("")), F.lit(".")).alias("_dir"))
+
+
+def _imported_files(imports: DataFrame, nodes: DataFrame, packages: DataFrame) -> DataFrame:
     """file, module, _to, _to_id: the files that each import leads to; several only for a Go package."""
     files = nodes.where("kind = 'file'").select(F.col("file").alias("_to"), F.col("id").alias("_to_id"), F.col("language").alias("_lang"), F.col("namespace").alias("_space"))
     each = imports.select("file", "language", "module", "tried").distinct()
-    paths = each.select("file", "module", "language", F.explode("tried").alias("_to")).distinct().join(files, "_to")
+    paths = each.select("file", "module", "language", F.explode("tried").alias("_to")).join(files, "_to")
     alike = (F.col("language") == F.col("_lang")) | (F.col("language").isin("c", "cpp") & F.col("_lang").isin("c", "cpp"))
     paths = paths.where(alike).groupBy("file", "module").agg(F.count("*").alias("n"), F.first("_to").alias("_to"), F.first("_to_id").alias("_to_id")).where("n = 1").drop("n")
     script = resolve_imports(each.where("language = 'script'").select(F.col("file").alias("source"), F.col("module").alias("specifier")), files.select(F.col("_to").alias("file")))
     script = script.where("target is not null").select(F.col("source").alias("file"), F.col("specifier").alias("module"), F.col("target").alias("_to")).distinct().join(files.select("_to", "_to_id"), "_to")
     named = nodes.where("kind in ('class', 'interface', 'function')").select(
         F.concat_ws(".", F.nullif("namespace", F.lit("")), "name").alias("_q"), F.col("language").alias("_lang"), F.col("file").alias("_to")).distinct()
+    named = named.groupBy("_q", "_lang").agg(F.count("*").alias("n"), F.first("_to").alias("_to")).where("n = 1").drop("n")
     asked = each.where("language in ('java', 'php', 'kotlin', 'csharp', 'scala')").withColumn("_q", F.translate("module", "\\/", ".."))
-    whole = asked.join(named, (F.col("language") == F.col("_lang")) & (asked["_q"] == named["_q"]))
-    whole = whole.groupBy("file", "module").agg(F.count("*").alias("n"), F.first("_to").alias("_to")).where("n = 1").select("file", "module", "_to").join(files.select("_to", "_to_id"), "_to")
-    go = each.where(F.col("language") == "go").where(F.col("module").startswith("."))
-    go = go.select("file", "module", F.coalesce(F.nullif(normalize_path(F.concat(_dir("file"), F.lit("/"), "module")), F.lit("")), F.lit(".")).alias("_dir")).join(files.where("_lang = 'go'").withColumn("_dir", _dir("_to")), "_dir")
+    whole = asked.join(named, (F.col("language") == F.col("_lang")) & (asked["_q"] == named["_q"])).select("file", "module", "_to").join(files.select("_to", "_to_id"), "_to")
+    go = packages.join(files.where("_lang = 'go'").withColumn("_dir", _dir("_to")), "_dir")
     cols = ["file", "module", "_to", "_to_id"]
     return paths.select(cols).unionByName(script.select(cols)).unionByName(whole.select(cols)).unionByName(go.select(cols)).distinct()
 
@@ -120,18 +142,26 @@ def _dir(file: str) -> Column:
     return F.when(F.instr(file, "/") > 0, F.regexp_replace(file, "/[^/]*$", "")).otherwise(".")
 
 
-def _answers(asked: DataFrame, bound: DataFrame, nodes: DataFrame) -> DataFrame:
-    """_use, _target, _kind where exactly one node answers."""
-    held = nodes.where("kind <> 'file'").select(F.col("file").alias("_to"), F.col("name").alias("_name"), F.col("parent").alias("_parent"), F.col("id").alias("_target"), F.col("kind").alias("_kind"))
-    by_module = asked.where("module not in ('*', '.')").join(bound.select("file", "module", "_to"), ["file", "module"])
+def _answers(asked: DataFrame, bound: DataFrame, packages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """_use, _target, _kind where exactly one node answers.
+
+    A Go package is asked as a whole: its nodes are counted by name first, so the work doesn't
+    grow with requests times files.
+    """
+    held = nodes.where("kind <> 'file'").select("language", "namespace", F.col("file").alias("_to"), F.col("name").alias("_name"), F.col("parent").alias("_parent"), F.col("id").alias("_target"), F.col("kind").alias("_kind"))
+    by_module = asked.where("module not in ('*', '.') and language <> 'go'").join(bound.select("file", "module", "_to"), ["file", "module"])
     included = asked.where("module = '*'").drop("module").join(bound.select("file", "_to"), "file")
-    go = asked.where("module = '.'").withColumn("_dir", _dir("file"))
-    package = nodes.where("kind = 'file' and language = 'go'").select(_dir("file").alias("_dir"), "namespace", F.col("file").alias("_to"))
-    go = go.join(package, ["_dir", "namespace"])
     cols = ["_use", "_to", "_name", "want_parent"]
-    wanted = by_module.select(cols).unionByName(included.select(cols)).unionByName(go.select(cols)).distinct()
-    met = wanted.join(held, ["_to", "_name"]).where(F.col("_parent").eqNullSafe(F.col("want_parent")))
-    return met.groupBy("_use").agg(F.count("*").alias("_n"), F.first("_target").alias("_target"), F.first("_kind").alias("_kind")).where("_n = 1").drop("_n")
+    wanted = by_module.select(cols).unionByName(included.select(cols)).distinct()
+    met = wanted.join(held.drop("language", "namespace"), ["_to", "_name"]).where(F.col("_parent").eqNullSafe(F.col("want_parent")))
+    met = met.groupBy("_use").agg(F.count("*").alias("_n"), F.first("_target").alias("_target"), F.first("_kind").alias("_kind")).where("_n = 1").drop("_n")
+    go = held.where("language = 'go'").withColumn("_dir", _dir("_to"))
+    once = lambda *keys: go.groupBy(*keys, "_name", "_parent").agg(F.count("*").alias("_n"), F.first("_target").alias("_target"), F.first("_kind").alias("_kind")).where("_n = 1")
+    same = F.col("_parent").eqNullSafe(F.col("want_parent"))
+    near = asked.where("module = '.'").withColumn("_dir", _dir("file")).join(once("_dir", "namespace"), ["_dir", "namespace", "_name"]).where(same)
+    far = asked.where("module not in ('*', '.') and language = 'go'").join(packages, ["file", "module"]).join(once("_dir"), ["_dir", "_name"]).where(same)
+    cols = ["_use", "_target", "_kind"]
+    return met.select(cols).unionByName(near.select(cols)).unionByName(far.select(cols)).dropDuplicates(["_use"])
 
 
 def find_nodes(nodes: DataFrame, symbol: str | None = None, file: str | None = None, line: int | None = None, limit: int = 21) -> DataFrame:

@@ -163,6 +163,36 @@ def test_lookups_and_bounds(spark):
     assert {r.id for r in G.graph_seeds(spark.createDataFrame([("main.ts", 2, 2)], "file string, start_line int, end_line int"), nodes).collect()} == {seeds.first().id}
 
 
+def _shuffled(spark) -> int:
+    """Records shuffled by all stages so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_package_of_many_files(spark):
+    """Requests to a Go package are answered by its names; what is shuffled doesn't grow with requests times files."""
+    n = 400
+    rows = [(f"p/f{k}.go", f"package p\nfunc Own{k}() int {{ return Own{(k + 1) % n}() + twice() + absent() }}\n" + ("func twice() int { return 1 }\n" if k < 2 else "")) for k in range(n)]
+    rows += [("p/other.go", "package q\nfunc Own0() int { return 2 }\nfunc lone() int { return Own0() + Own1() }"), ("main.go", 'package main\nimport u "./p"\nfunc far() int { return u.Own5() + u.Own0() }')]
+    before = _shuffled(spark)
+    got, _ = edges_of(spark, *rows)
+    shuffled = _shuffled(spark) - before
+    calls = {(file, said): target for kind, file, _, _, target, said, _ in got if kind == "CALLS"}
+    own = {(f"p/f{k}.go", f"Own{(k + 1) % n}"): (f"p/f{(k + 1) % n}.go", f"Own{(k + 1) % n}") for k in range(n)}
+    assert {k: t for k, t in calls.items() if k in own} == own
+    assert {t for (file, said), t in calls.items() if said == "absent" or (said == "twice" and file not in ("p/f0.go", "p/f1.go"))} == {None}
+    assert calls["p/other.go", "Own0"] == ("p/other.go", "Own0") and calls["p/other.go", "Own1"] is None
+    assert calls["main.go", "Own5"] == ("p/f5.go", "Own5") and calls["main.go", "Own0"] is None  # two files of the folder have it
+    assert shuffled < 60 * n
+
+
+def test_repeated_files_give_edges_once(spark):
+    rows = [("a.py", "import os\ndef goal(): return 1\ndef user(): return goal()\n"), ("b.py", "from a import goal\ndef more(): return goal()\n")]
+    once, twice = (sorted((e.id, e.kind) for e in G.analyse(files(spark, *r))[1].collect()) for r in (rows, [*rows, rows[1]]))
+    assert once == twice and len({i for i, _ in once}) == len(once)
+
+
 def test_many_functions_in_one_file():
     text = "".join(f'def helper_{i}():\n    """Texte accentué."""\n    return {i}\n' for i in range(700)) + "def user():\n return helper_5()\n"
     u = parse(text, "python")
