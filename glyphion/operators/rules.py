@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from glyphion.functions.text import glob_regex, redact
 from glyphion.operators.search import reranked
@@ -53,26 +57,66 @@ def scan(files: DataFrame, file_pattern: str | None = None, categories: list[str
 
     Files that only hold credentials are left out, and so are lines over 16,000 characters; both
     are counted by coverage(). The excerpt has two lines more on both sides, from the text as
-    redacted as a whole, and up to 1,400 characters of them. Null texts have no lines.
+    redacted as a whole, and up to 1,400 characters of them. Null texts have no lines. A file's
+    lines are judged in its own row, so nothing is shuffled.
     """
     mine = [r for r in rules if not categories or r[1] in categories]
     scoped = _scoped(files, file_pattern).where(~_path(files).rlike(CONTAINERS))
-    lines = scoped.select("file", F.sha1(F.col("text").cast("binary")).alias("hash"), "text", F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line"))
-    meets = lambda r: F.col("_line").rlike(r[6]) | (F.col("_line").rlike(BARE_CREDENTIAL) if r[0] == "credential" else F.lit(False))
-    met = F.array_compact(F.array(*(F.when(meets(r), F.lit(i)) for i, r in enumerate(mine)))) if mine else F.array().cast("array<int>")
-    # The redacted text is made once a file that has a hit, not carried beside each of its lines.
-    hits = lines.where(F.length("_line") <= LONG_LINE).select("file", "hash", "_at", met.alias("_r")).where(F.size("_r") > 0)
-    by_file = hits.groupBy("file", "hash").agg(F.collect_list(F.struct("_at", "_r")).alias("_hits"))
-    shown = scoped.select("file", F.sha1(F.col("text").cast("binary")).alias("hash"), F.split(redact(F.col("text")), "\n", -1).alias("_shown")).dropDuplicates(["file", "hash"])
+    met = lambda line: F.array_compact(F.array(*(F.when(_meets(r, line), F.lit(i)) for i, r in enumerate(mine)))) if mine else F.array().cast("array<int>")
+    judged = F.transform("_lines", lambda c: F.struct(c["at"].alias("at"), F.when(F.length(c["line"]) <= LONG_LINE, met(c["line"])).alias("r")))
+    # What an explode gives is made once a row, before the next step asks for it: hits, and the redacted text of files that have any.
+    hits = _likely(scoped, mine).select("file", "text", F.explode(F.array(F.filter(judged, lambda h: F.size(h["r"]) > 0))).alias("_hits")).where(F.size("_hits") > 0)
+    shown = hits.select("file", F.sha1(F.col("text").cast("binary")).alias("hash"), "_hits", F.explode(F.array(F.split(redact(F.col("text")), "\n", -1))).alias("_shown"))
     first = lambda at: F.greatest(at + 1 - REACH, F.lit(1))
     cut = lambda at: F.substring(F.array_join(F.slice(F.col("_shown"), first(at), at + 2 + REACH - first(at)), "\n"), 1, EXCERPT)
-    each = by_file.join(shown, ["file", "hash"]).select("file", "hash", F.explode(F.transform("_hits", lambda h: F.struct(h["_at"].alias("at"), h["_r"].alias("r"), cut(h["_at"]).alias("excerpt")))).alias("h"))
+    each = shown.select("file", "hash", F.explode(F.transform("_hits", lambda h: F.struct(h["at"].alias("at"), h["r"].alias("r"), cut(h["at"]).alias("excerpt")))).alias("h"))
     each = each.select("file", "hash", (F.col("h.at") + 1).cast("long").alias("line"), "h.excerpt", F.explode("h.r").alias("_i"))
     named = F.array(*(F.struct(F.lit(r[1]).alias("category"), F.lit(r[0]).alias("rule"), F.lit(r[2]).alias("cwe"), F.lit(r[3]).alias("title"), F.lit("needs_review" if r[4] == "candidate" else "surface").alias("status"), F.lit(r[5]).alias("priority")) for r in mine))
     out = each.withColumn("r", F.get(named, F.col("_i"))) if mine else each.withColumn("r", F.lit(None).cast("struct<category:string,rule:string,cwe:string,title:string,status:string,priority:int>"))
     return out.select(F.concat_ws(":", "r.rule", "file", "line").alias("id"), "file", "line", "r.*", "excerpt", "hash")
 
 
+def _meets(rule: tuple, line: Column) -> Column:
+    return line.rlike(rule[6]) | (line.rlike(BARE_CREDENTIAL) if rule[0] == "credential" else F.lit(False))
+
+
+def _wide(pattern: str) -> str:
+    """One of the patterns above, for bytes and any line of a text, as an expression of RE2 that meets whatever the pattern meets, and some more.
+
+    Bounds of words go, since Java knows other letters; `.` takes all but a new line and white space
+    the vertical tab, as they do there.
+    """
+    flags, body = ("im", pattern.removeprefix("(?i)")) if pattern.startswith("(?i)") else ("m", pattern)
+    return f"(?{flags}:" + body.replace(r"\b", "").replace(".*", r"[^\n]*").replace(r"\s*", r"[\s\v]*") + ")"
+
+
+def _likely(files: DataFrame, rules: list[tuple]) -> DataFrame:
+    """files with _lines, the lines (at, line) that a rule may meet; files without any are left out.
+
+    One automaton for all rules reads the texts, and then the lines of those that it meets. Only
+    the patterns of RULES are known to have a wider form; with other ones every line may be met.
+    """
+    if not {r[6] for r in rules} <= {r[6] for r in RULES}:
+        return files.withColumn("_lines", F.transform(F.split("text", "\n", -1), lambda line, at: F.struct(at.alias("at"), line.alias("line"))))
+    any_of = "|".join(_wide(p) for r in rules for p in ([r[6], BARE_CREDENTIAL] if r[0] == "credential" else [r[6]])) or r"\b\B"
+    names, at = files.columns, files.columns.index("text")
+
+    def run(batches):
+        meets = lambda a: pc.fill_null(pc.match_substring_regex(a.cast(pa.binary()), any_of), False)
+        for batch in batches:
+            kept = batch.filter(meets(batch.column(at)))
+            lines = pc.split_pattern(kept.column(at), "\n")
+            flat, row = lines.flatten(), pc.list_parent_indices(lines).to_numpy()
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            fit = meets(flat)
+            there = fit.to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[there], minlength=kept.num_rows))])
+            pairs = pa.StructArray.from_arrays([pa.array(place[there], pa.int32()), flat.filter(fit)], ["at", "line"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], [*names, "_lines"])
+
+    return files.mapInArrow(run, StructType([*files.schema.fields]).add("_lines", ArrayType(StructType().add("at", IntegerType()).add("line", StringType()))))
+
+
 def _scoped(files: DataFrame, file_pattern: str | None) -> DataFrame:
     rows = files.select("file", "text")
     return rows if file_pattern is None else rows.where(_path(rows).rlike(glob_regex(file_pattern)))

@@ -93,3 +93,28 @@ def test_changes(spark):
     now = spark.createDataFrame([("a", "1"), ("b", "2")], "file string, hash string")
     was = spark.createDataFrame([("b", "3"), ("c", "4")], "file string, hash string")
     assert {r.file: r.status for r in tables.changes(now, was).collect()} == {"a": "new", "b": "changed", "c": "deleted"}
+
+
+def test_rules_judge_lines_in_place(spark):
+    """The automaton that picks lines leaves none out, and nothing is shuffled."""
+    import itertools
+
+    from glyphion.operators import rules
+    from glyphion.plans.twins import RISKY
+
+    odd = [
+        "SELECT a\u000b FROM t\u2028 x ${y}", "éselect 1 %\u000b x", "delete é" + "ö" * 30 + ".format\u000b(", "eval\u000b(", "éexec(x)", "ſelect ${", "SHELL = true", "shell\t:\ttrue", "PASSWORD: 'éöüéöüéö'", "password: 'éöüéöüé'",
+        "sk-" + "a" * 19 + "-é", "sk-" + "a" * 20 + "é", "AKIA" + "Z" * 16, "\u000b a.b-c == 1", "numpy\u000b>=1", "x = secret_key: \u000babcdefgh", "my.api-key=\u2028abcdefg8", "verify=\u000bFalse", "BEGIN PRIVATE KEY", "jwt.verify\u000b (", "@login_required",
+    ]
+    lines = [*odd, *RISKY, "plain", ""]
+    texts = ["\n".join(p) for p in itertools.permutations(lines[:12], 2)] + ["\r\n".join(lines), "\n".join(lines), "\n" * 5 + "open(" + "x" * 16_000 + "\nopen(y)\n", "", "\n", None, "eval(" + "x" * 15_995, "eval(" + "x" * 15_996]
+    rows = [*((f"f{k}", t) for k, t in enumerate(texts)), ("f1", "changed\nopen(x)"), ("f2", texts[2]), ("x.pem", "eval(x)"), (None, "eval(x)")]
+    files = spark.createDataFrame(rows, "file string, text string").repartition(3)
+    never = ("none", "none", "", "", "candidate", 1, "(?!)", [])
+    by_lines, by_automaton = rules.scan(files, rules=[*rules.RULES, never]), rules.scan(files)
+    got = sorted(map(tuple, by_automaton.collect()))
+    assert got == sorted(map(tuple, by_lines.collect())) and len({r[4] for r in got}) == len(rules.RULES)
+    assert [r[2] for r in got if r[1] == f"f{texts.index(chr(10) * 5 + 'open(' + 'x' * 16_000 + chr(10) + 'open(y)' + chr(10))}"] == [7]
+    assert rules.scan(files, categories=["none"]).count() == 0 and rules.scan(files, categories=["injection"]).count() == sum(r[4] == "sql-concat" for r in got)
+    small = spark.createDataFrame([("a.py", "eval(x)"), ("b.py", "plain")], "file string, text string")
+    assert "Exchange" not in rules.scan(small)._jdf.queryExecution().executedPlan().toString()
