@@ -118,3 +118,11 @@ def test_rules_judge_lines_in_place(spark):
     assert rules.scan(files, categories=["none"]).count() == 0 and rules.scan(files, categories=["injection"]).count() == sum(r[4] == "sql-concat" for r in got)
     small = spark.createDataFrame([("a.py", "eval(x)"), ("b.py", "plain")], "file string, text string")
     assert "Exchange" not in rules.scan(small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_joins_nothing(spark):
+    from glyphion.operators import rules
+
+    plan = rules.plan(rules.scan(spark.createDataFrame([("a.py", "eval(x)\neval(y)"), ("b.py", "plain")], "file string, text string")))
+    assert [(r.category, r.evidence, r.files, r.score) for r in plan.collect()] == [("command_execution", 2, 1, 90)]
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
